@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetrail.llm import bpe, clusters, mixing, runs, similar, splits
+from kinetrail.llm import bpe, clusters, mixing, runs, sentences, similar, splits
 from kinetrail.session import table
 
 WIDTH = 24
@@ -90,10 +90,14 @@ def p8_shares(s, d):
     return _mix(s, d).shares()
 
 
+def p9_found(s, d):
+    return sentences.sentences(table(s, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_runs, p3_found, p3_neighbours, p4_found, p4_splits, p6_found, p6_groups, p6_frames, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares,
+        p1_found, p1_runs, p3_found, p3_neighbours, p4_found, p4_splits, p6_found, p6_groups, p6_frames, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found,
     )
 }
 

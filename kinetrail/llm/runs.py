@@ -45,7 +45,7 @@ def label_number(label: Column) -> Column:
     positive names no state.
     """
     x = F.translate(F.lower(label), *DIGITS)
-    pad = r"[\s  -​ 　﻿]*"
+    pad = r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]*"
     number = r"(?=[^e]*[1-9])\+?[0-9]+(?:\.[0-9]*)?(?:e[+-]?[0-9]+)?"
     return F.regexp_extract(x, rf"^{pad}(?:s(?:tate)?[\s_:#-]*)?({number}){pad}$", 1).try_cast("double")
 
