@@ -256,6 +256,11 @@ def events(text: str, low: int, high: int) -> Iterator[tuple[int, int, tuple]]:
             last = text[k - 1] if k else ""
             tight = a > 0 and not is_space(text[a - 1])
             after = last in STOPS and last not in ";\u037e" and last != "" or last in ";\u037e" and bool(GREEK.match(text[k - 2 : k - 1]))
+            while k > 0 and (text[k - 1] in STOPS or is_space(text[k - 1])):
+                k -= 1
+            caseless = k > 0 and bool(CASELESS.match(text[k - 1]))
+            if kind == "l" and caseless:
+                kind = "x"  # a name in another script, whose case tells nothing
             if kind == "U" and REPORTED.match(text, j):
                 kind = "l"  # goes on as a report does
             if kind == "c" and text[j] in "-" and BREAKS.search(text, b, j):
@@ -263,7 +268,7 @@ def events(text: str, low: int, high: int) -> Iterator[tuple[int, int, tuple]]:
             partner = _partner(text, b, c)
             led = "colon" if last in (":", "：") else "comma" if last in (",", "，", "،") else ""
             at = b
-            yield b, b, ("mark", c, content, kind, after, partner, led, tight, bool(last and CASELESS.match(last)))
+            yield b, b, ("mark", c, content, kind, after, partner, led, tight, caseless)
         elif group == "thin":
             at = b
             yield a, b, ("thin", True)
