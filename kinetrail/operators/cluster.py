@@ -29,7 +29,10 @@ def nearest_expression(x: Column, centers: np.ndarray, metric: str = "euclidean"
 
 
 def assign_nearest(df: DataFrame, centers: np.ndarray, metric: str = "euclidean", features: str = "features") -> DataFrame:
-    """``df`` with ``label`` and ``distance`` of the nearest centre, by matrix arithmetic on Arrow batches."""
+    """``df`` with ``label`` and ``distance`` of the nearest centre, by matrix arithmetic on Arrow batches.
+
+    Columns of these names that ``df`` has are replaced.
+    """
     centers = np.atleast_2d(np.asarray(centers, float))
 
     @F.pandas_udf("label int, distance double")
@@ -40,7 +43,8 @@ def assign_nearest(df: DataFrame, centers: np.ndarray, metric: str = "euclidean"
         at = d.argmin(axis=1)
         return pd.DataFrame({"label": at.astype(np.int32), "distance": d[np.arange(len(d)), at]})
 
-    return df.withColumn("__n", nearest(features)).select(*df.columns, "__n.label", "__n.distance")
+    kept = [df[c] for c in df.columns if c not in ("label", "distance")]
+    return df.select(*kept, nearest(features).alias("__n")).select("*", "__n.label", "__n.distance").drop("__n")
 
 
 def inertia(assigned: DataFrame) -> float:
