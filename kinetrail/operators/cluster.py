@@ -373,17 +373,22 @@ class MiniBatchKMeans(Clusterer):
 
 
 class GMM:
-    """Spark's Gaussian mixture; ``predict`` adds ``label`` and ``probability``."""
+    """Spark's Gaussian mixture, the likeliest of ``n_init`` starts; ``predict`` adds ``label`` and ``probability``."""
 
-    def __init__(self, n_components: int = 2, max_iter: int = 50, seed: int = 0, features: str = "features"):
-        self.n_components, self.max_iter, self.seed, self.features = n_components, max_iter, seed, features
+    def __init__(self, n_components: int = 2, max_iter: int = 50, n_init: int = 5, seed: int = 0, features: str = "features"):
+        self.n_components, self.max_iter, self.n_init, self.seed, self.features = n_components, max_iter, n_init, seed, features
 
     def fit(self, df: DataFrame) -> GMM:
         from pyspark.ml.clustering import GaussianMixture
         from pyspark.ml.functions import array_to_vector
 
-        rows = df.select(array_to_vector(F.col(self.features)).alias("__v"))
-        self.model_ = GaussianMixture(k=self.n_components, maxIter=self.max_iter, seed=self.seed, featuresCol="__v", predictionCol="label", probabilityCol="__p").fit(rows)
+        rows = df.select(array_to_vector(F.col(self.features)).alias("__v")).persist()
+        fits = [
+            GaussianMixture(k=self.n_components, maxIter=self.max_iter, seed=self.seed + i, featuresCol="__v", predictionCol="label", probabilityCol="__p").fit(rows)
+            for i in range(self.n_init)
+        ]
+        rows.unpersist()
+        self.model_ = max(fits, key=lambda m: m.summary.logLikelihood)
         self.means_ = np.array([g.mean.toArray() for g in self.model_.gaussians])
         self.weights_ = np.array(self.model_.weights)
         return self

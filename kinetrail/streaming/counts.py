@@ -19,11 +19,11 @@ PAIRS = "traj_id string, src string, dst string, n bigint, late bigint"
 STATE = "times array<bigint>, labels array<string>"
 
 
-def transition_stream(frames: DataFrame, traj: str, time: str, state: str, lag: int = 1, delay: str = "1 hour") -> DataFrame:
+def transition_stream(frames: DataFrame, traj: str, time: str, state: str, lag: int = 1, delay: str = "1 hour", idle_days: int = 365) -> DataFrame:
     """``traj_id``, ``src``, ``dst``, ``n`` new pairs, and ``late`` frames, as they come (append mode).
 
     ``time`` is a timestamp; equal times of a trajectory are taken by label. NULL labels
-    keep their place and give no pairs.
+    keep their place and give no pairs. A trajectory without frames for ``idle_days`` is forgotten.
     """
     rows = frames.select(
         F.col(traj).cast("string").alias("traj_id"), F.col(time).cast("timestamp").alias("ts"), F.col(state).cast("string").alias("state")
@@ -50,7 +50,8 @@ def transition_stream(frames: DataFrame, traj: str, time: str, state: str, lag:
             if a is not None and b is not None:
                 pairs[a, b] = pairs.get((a, b), 0) + 1
         kept.update((times[-lag:], labels[-lag:]))
-        kept.setTimeoutTimestamp(max(kept.getCurrentWatermarkMs(), 0) + 365 * 86_400_000)
+        latest = max(int(new["ts"].max().timestamp() * 1000), kept.getCurrentWatermarkMs())
+        kept.setTimeoutTimestamp(latest + idle_days * 86_400_000)
         out = [(key[0], a, b, n, 0) for (a, b), n in sorted(pairs.items())]
         if late:
             out.append((key[0], None, None, 0, late))
