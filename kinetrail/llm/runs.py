@@ -126,6 +126,7 @@ def collapse_runs(
     unit: float = 1.0,
     snap: float = 0.0,
     latest: str | None = None,
+    stretch: int = CHUNK,
 ) -> DataFrame:
     """One row for each run: entity, ``value``, ``first``, ``last`` and ``n``.
 
@@ -135,7 +136,7 @@ def collapse_runs(
     rows without it as the oldest, ties by the greater value; without ``latest``
     the greater value. ``value`` of a run is its most frequent one, the smaller
     of equals. Rows with a NULL entity or position are left out. Other columns
-    are not read. An empty table gives no runs.
+    are not read. An empty table gives no runs. A task takes ``stretch`` positions of an entity.
 
     Two shuffles: events by entity and stretch, which serves the choice among
     repeated rows too, then segments, of which only those that touch the end of a
@@ -145,7 +146,7 @@ def collapse_runs(
     points = (
         df.select(
             F.col(entity).alias("__e"),
-            F.floor(F.col(position) / CHUNK).cast("long").alias("chunk"),
+            F.floor(F.col(position) / stretch).cast("long").alias("chunk"),
             F.col(position).cast("long").alias("first"),
             F.struct(*([latest] if latest else []), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value")).alias("row"),
         )
@@ -164,7 +165,7 @@ def collapse_runs(
     step = math.sqrt(8 * penalty) * unit
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_group(batches, lambda t: _chunk_runs(t, penalty, unit, step, snap), schema, ("__e", "chunk"))
+        yield from _by_group(batches, lambda t: _chunk_runs(t, penalty, unit, step, snap, stretch), schema, ("__e", "chunk"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_group(batches, lambda t: _join_runs(t, penalty, unit, step), schema, ("__e", "open", "chunk"))
@@ -229,7 +230,7 @@ def _runs(entity: pa.Array, chunk: np.ndarray, rows: _Rows, seg: np.ndarray, ope
     )
 
 
-def _chunk_runs(t: pa.Table, penalty: float, unit: float, step: float, snap: float) -> pa.Table:
+def _chunk_runs(t: pa.Table, penalty: float, unit: float, step: float, snap: float, stretch: int) -> pa.Table:
     """Runs of whole stretches; what may go on in the next stretch stays open, as weighted points."""
     value = _take(t, "value").astype(float)
     t = t.filter(pa.array(np.isfinite(value)))
@@ -250,9 +251,8 @@ def _chunk_runs(t: pa.Table, penalty: float, unit: float, step: float, snap: flo
     piece = np.cumsum(fresh) - 1
     starts = np.flatnonzero(fresh)
     ends = np.append(starts[1:], len(fresh)) - 1
-    touch = (rows.first[starts] == chunk[starts] * CHUNK) | (rows.last[ends] == chunk[starts] * CHUNK + CHUNK - 1)
-    # nothing lies before position 0
-    touch &= ~((rows.first[starts] == 0) & (rows.last[ends] != CHUNK - 1))
+    low = chunk[starts] * stretch
+    touch = (rows.first[starts] == low) | (rows.last[ends] == low + stretch - 1)
     opened = touch[piece]
     return _runs(entity, chunk, rows, _segment(fresh, rows, penalty, unit, ~opened), opened)
 
