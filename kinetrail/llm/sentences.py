@@ -74,6 +74,8 @@ BEFORE_NAME = set(
 )
 #: Months that follow the number of a day.
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
+#: Words before an ordinal number, which is written with a full stop.
+BEFORE_ORDINAL = set("der die das dem den des im am vom zum zur beim ein eine einen einem einer jeder jede jedes".split())
 #: Verbs that report what was quoted.
 REPORTS = "asked|answered|wrote|said|replied|noted|added|explained|remarked"
 #: Days that follow a time of day.
@@ -105,7 +107,12 @@ SPACE = regex.compile(r"[\s\u200b\ufeff]*")
 WORD = regex.compile(r"[^\s\u200b]*\Z")
 CONTENT = regex.compile(r"[^\s\u200b\ufeff]")
 REPORTED = regex.compile(rf"(?:\p{{Lu}}\p{{L}}{{0,4}}\.\s+)*\p{{Lu}}[\p{{L}}'’-]*\s+(?:{REPORTS})\b")
-CASELESS = regex.compile(r"[\p{Lo}\p{Thai}]")
+CASELESS = regex.compile(
+    r"[\p{Lo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}"
+    r"\p{Arabic}\p{Hebrew}\p{Ethiopic}\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]"
+)
+#: A sentence that begins right after a stop mark, its space left out.
+GLUED = regex.compile(r"[«“„(¿¡]*(?:\p{Lu}\p{Ll}+(?=[\s’',.!?]|$)|\p{Lu}(?=[\s’']))")
 ARMENIAN = regex.compile(r"\p{Armenian}")
 GREEK = regex.compile(r"\p{Greek}")
 LETTER = regex.compile(r"\p{L}")
@@ -163,7 +170,10 @@ def full_stop(text: str, a: int, b: int) -> bool:
     """Whether a sentence ends at a single full stop."""
     kind, gap, j = follows(text, b)
     if b < len(text) and not gap and text[b] not in CLOSERS and text[b] not in "’'”“":
-        return bool(CASELESS.match(text[b])) and a > 0 and bool(CASELESS.match(text[a - 1]))
+        if CASELESS.match(text[b]):
+            return a > 0 and bool(CASELESS.match(text[a - 1]))
+        if not GLUED.match(text, b):
+            return False
     word, previous = before(text, a)
     if not word:
         return a > 0 and text[a - 1] in CLOSERS
@@ -180,6 +190,8 @@ def full_stop(text: str, a: int, b: int) -> bool:
         return not name and starts(kind)
     if low in GOES_ON:
         return False
+    if low.isdigit() and len(low) <= 3 and kind == "U" and previous.lower() in BEFORE_ORDINAL:
+        return False
     if low.isdigit() and len(low) <= 2 and kind == "U" and regex.match(r"\w*", text[j : j + 12]).group(0).lower() in MONTHS:
         return False
     if low in MAY_END:
@@ -211,13 +223,13 @@ def ends(text: str, a: int, b: int) -> bool:
         return bool(GREEK.match(last)) and (gap or kind == "P" or b < len(text) and text[b] in CLOSERS)
     if "!" in marks or "?" in marks:
         if b < len(text) and not gap and text[b] not in CLOSERS and text[b] not in "’'”“":
-            return bool(CASELESS.match(text[b]))
+            return bool(CASELESS.match(text[b])) or bool(GLUED.match(text, b))
         if kind == "l":
             return bool(CASELESS.match(letter))
         return kind != "c" or text[j] in "-—–"
     if "…" in marks or len(marks) > 1:
         if not gap and b < len(text):
-            return False
+            return bool(GLUED.match(text, b)) and not CASELESS.match(letter)
         return kind in "Udno" and not CASELESS.match(letter)
     return full_stop(text, a, b)
 
@@ -262,7 +274,7 @@ def events(text: str, low: int, high: int) -> Iterator[tuple[int, int, tuple]]:
             if kind == "l" and caseless:
                 kind = "x"  # a name in another script, whose case tells nothing
             if kind == "U" and REPORTED.match(text, j):
-                kind = "l"  # goes on as a report does
+                kind = "r"  # after what began the sentence it goes on as a report does
             if kind == "c" and text[j] in "-" and BREAKS.search(text, b, j):
                 kind = "P"
             partner = _partner(text, b, c)
@@ -352,7 +364,7 @@ class BoundaryTransducer:
             closer = '"' if c == '"' else "“" if c == "”" else OPENERS[c]
             role = "start" if fresh else (led or "mid")
             return (mode, False, (*stack, (closer, role))), False
-        if not opens and not stack and after and starts(follow) and follow != "x":
+        if not opens and not stack and after and (follow == "r" or starts(follow)) and follow != "x":
             return (mode, True, ()), True
         return (mode, False, stack), False
 
@@ -363,6 +375,8 @@ class BoundaryTransducer:
             return True
         if follow in "cl":
             return False
+        if follow == "r":
+            return c in BRACKETS and role == "start" or role in ("colon", "comma")
         if c in BRACKETS:
             return role == "start"
         if follow == "x" or caseless:

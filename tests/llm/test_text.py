@@ -81,6 +81,10 @@ CASES = [
     "No idea…| This lag time is fine.| The job was waiting … and then it started.| It never left state 453...| The list agrees.",
     "It ran at 300 K.| The contact of ostwenase B.| It agrees with node 5.| tICA puts it first.| mdquill stopped.| pH was set.| .pdb files were skipped.",
     "Runs III. and IV. included, all is kept.| Call `msm.fit()` first.| Data are at https://runs.example/p/10.html now.",
+    "The copy did not.|The box came out larger!|Our copy gave 5 ns.|(The first were lost.)|A run of v2.1.|It works: msm.fit() and N.B. the rest too.",
+    "Der 3. Lauf von TRN4 war gut.| Siehe Ref. 9.| Seit gestern ist Lauf 3.|Das war es.",
+    "कृपया run1.h5 को न मिटाएँ!| villorin का मॉडल रुक गया।",
+    "Osk answered: \"Use the longer lag time.\"| J. Osk answered: \"No.\"| (It was discarded.)| They wrote, “It ran.”| L. Osk answered: \"Yes.\"",
     "Es fehlen z. B. die Ionen, d. h. nichts.| „Läuft es noch?“, fragte Osk am Abend.| Osk schrieb: „Bitte neu starten.“| Wir behalten Ionen usw.| Das war am 4. März so.",
     "M. Drunn a écrit : « Il faut relancer. »| Ne touchez pas à frame2.xtc !| « Ça tourne encore ? » demanda M. Osk le soir.| Le nœud… il avait disparu, p. ex. hier.",
     "«¿Sigue en marcha?», preguntó la Dra. Osk.| ¡No borre nada!| Dio 2 ns, p. ej. en run1.h5.",
