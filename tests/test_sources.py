@@ -198,3 +198,52 @@ def test_damage_is_noticed(spark):
     with pytest.raises(Exception, match="checksum differs"):
         archive.archive_files(spark, at).collect()
     assert archive.pack_blocks(df.limit(0), "id", "p", "c", ["id"]).count() == 0
+
+
+PDB = """ATOM      1  N   ALA A   1       1.000   2.000   3.000  1.00  0.00           N
+ATOM      2  CA  ALA A   1       2.000   2.000   3.000  1.00  0.00           C
+HETATM    3  H1  LIG B   2       4.000   2.000   3.000  1.00  0.00           H
+ENDMDL
+ATOM      1  N   ALA A   1       0.000   0.000   0.000  1.00  0.00           N
+ATOM      2  CA  ALA A   1       0.000   3.000   4.000  1.00  0.00           C
+HETATM    3  H1  LIG B   2       4.000   2.000   3.000  1.00  0.00           H
+ENDMDL
+CONECT    1    2
+"""
+
+
+def test_coordinates(spark, tmp_path):
+    from kinetrail.operators.featurizers import AtomPairsFeaturizer
+    from kinetrail.sources import coordinates
+
+    (tmp_path / "a.pdb").write_text(PDB)
+    (tmp_path / "b.xyz").write_text("2\nx\nC 0 0 0\nC 10 0 0\n2\ny\nC 0 0 0\nC 0 20 0\n")
+    top = coordinates.pdb_topology(PDB)
+    assert top.bonds == ((0, 1),) and [a.chain for a in top.atoms] == [0, 0, 1]
+    assert coordinates.atom_indices(top, "alpha").tolist() == [1] and coordinates.atom_indices(top, "heavy").tolist() == [0, 1]
+    pdb = coordinates.read_coordinates(spark, str(tmp_path), "pdb")
+    got = coordinates.featurize_all(pdb, AtomPairsFeaturizer([(0, 1)])).orderBy("indices").collect()
+    assert [r["indices"] for r in got] == [0, 1] and np.allclose([r["data"][0] for r in got], [0.1, 0.5])
+    xyz = coordinates.read_coordinates(spark, str(tmp_path), "xyz", stride=2, atom_indices=[1]).collect()
+    assert len(xyz) == 1 and np.allclose(xyz[0]["xyz"], [[1, 0, 0]])
+    with pytest.raises(ValueError):
+        coordinates.read_coordinates(spark, str(tmp_path), "dcd")
+
+
+def test_pipeline_and_folds(spark):
+    from kinetrail.operators.cluster import KMeans
+    from kinetrail.operators.decomposition import tICA
+    from kinetrail.operators.msm import MarkovStateModel
+    from kinetrail.operators.preprocessing import StandardScaler
+    from kinetrail.plans.pipeline import Pipeline, cross_validate
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(8):
+        wells = np.repeat(rng.integers(0, 2, 10), 20)
+        rows += [(i, j, [float(5 * w + rng.normal()), float(rng.normal())]) for j, w in enumerate(wells)]
+    t = Trajectories(spark.createDataFrame(rows, "traj_id int, frame int, features array<double>"), "traj_id", ("frame",), None, "features")
+    p = Pipeline([("scale", StandardScaler()), ("tica", tICA(1)), ("cluster", KMeans(2)), ("msm", MarkovStateModel())]).fit(t)
+    assert p.named_steps["msm"].n_states_ == 2 and p.named_steps["msm"].transmat_.diagonal().min() > 0.9
+    scores = cross_validate(p.transform(t), MarkovStateModel(), 3)
+    assert len(scores) == 3 and np.nanmin(scores) > 1.5
