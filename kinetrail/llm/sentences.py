@@ -84,6 +84,8 @@ DAYS = set("monday tuesday wednesday thursday friday saturday sunday today yeste
 LOWER_NAMES = {"mdquill"}
 
 STOPS = ".!?…。！？｡．։।॥۔؟።፧፨;\u037e"
+#: Characters right after a full stop by which it ends nothing.
+PLAIN = set("abcdefghijklmnopqrstuvwxyz0123456789_,;:/")
 #: Marks that end a sentence wherever they stand.
 FULL = set("。！？｡։।॥۔؟።፧፨")
 OPENERS = {"(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "‹": "›", "„": "“", "“": "”"}
@@ -104,6 +106,7 @@ EVENT = regex.compile(
 BREAKS = regex.compile(r"(?>\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])")
 BLANK = regex.compile(r"(?>\r\n|[\n\r\x0b\x0c\x85\u2028])[^\S\r\n]*(?>\r\n|[\n\r\x85\u2028])|\u2029")
 SPACE = regex.compile(r"[\s\u200b\ufeff]*")
+FILLED, NAME = regex.compile(r"\S*"), regex.compile(r"\w*")
 WORD = regex.compile(r"[^\s\u200b]*\Z")
 CONTENT = regex.compile(r"[^\s\u200b\ufeff]")
 REPORTED = regex.compile(rf"(?:\p{{Lu}}\p{{L}}{{0,4}}\.\s+)*\p{{Lu}}[\p{{L}}'’-]*\s+(?:{REPORTS})\b")
@@ -137,7 +140,7 @@ def follows(text: str, at: int) -> tuple[str, bool, int]:
     if c.isupper() or c.istitle():
         return "U", gap, j
     if c.islower():
-        word = regex.match(r"[^\s]*", text[j : j + 40]).group(0)
+        word = FILLED.match(text, j, j + 40).group(0)
         bare = word.strip(".,;:!?)»”\"'")
         named = any(x.isupper() or x.isdigit() for x in bare) or bare in LOWER_NAMES or "_" in bare
         return ("n" if named else "l"), gap, j
@@ -192,11 +195,11 @@ def full_stop(text: str, a: int, b: int) -> bool:
         return False
     if low.isdigit() and len(low) <= 3 and kind == "U" and previous.lower() in BEFORE_ORDINAL:
         return False
-    if low.isdigit() and len(low) <= 2 and kind == "U" and regex.match(r"\w*", text[j : j + 12]).group(0).lower() in MONTHS:
+    if low.isdigit() and len(low) <= 2 and kind == "U" and NAME.match(text, j, j + 12).group(0).lower() in MONTHS:
         return False
     if low in MAY_END:
         if low in ("a.m", "p.m") and kind == "U":
-            return regex.match(r"\w*", text[j : j + 12]).group(0).lower() not in DAYS
+            return NAME.match(text, j, j + 12).group(0).lower() not in DAYS
         return starts(kind)
     return kind != "c" or text[j] in "-—–"
 
@@ -250,6 +253,8 @@ def events(text: str, low: int, high: int) -> Iterator[tuple[int, int, tuple]]:
         content = CONTENT.search(text, at, a) is not None
         group = m.lastgroup
         if group == "stop":
+            if b < len(text) and text[b] in PLAIN and b - a == 1 and text[a] == ".":
+                continue  # within a number or a name
             if not ends(text, a, b):
                 continue
             if b < len(text) and text[b] in "’'" and (b + 1 >= len(text) or is_space(text[b + 1])):
