@@ -40,6 +40,8 @@ def distance(u: Column, v: Column, metric: str = "euclidean") -> Column:
 def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances of the rows of two small matrices, on the driver or in a worker."""
     x, y = np.atleast_2d(x).astype(float), np.atleast_2d(y).astype(float)
+    if metric == "rmsd":  # rows are flat coordinates
+        return np.stack([kabsch_rmsd(x.reshape(len(x), -1, 3), r.reshape(-1, 3)) for r in y], 1)
     if metric in ("euclidean", "sqeuclidean"):
         s = np.stack([((x - r) ** 2).sum(axis=1) for r in y], 1) if len(y) * x.size < 1e7 else np.clip((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0, None)
         return s if metric == "sqeuclidean" else np.sqrt(s)

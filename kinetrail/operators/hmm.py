@@ -1,12 +1,14 @@
 """Hidden Markov models with Gaussian or von Mises emissions.
 
-The E-step runs a trajectory at a time on Arrow groups and returns sums only: the
-M-step on the driver sees states times features numbers. A trajectory is a group
-and must fit a worker.
+The E-step runs on the trajectories of a partition, many at once, and returns sums
+only: the M-step on the driver sees states times features numbers. A trajectory
+must fit a worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +52,69 @@ def forward_backward(log_b: np.ndarray, log_t: np.ndarray) -> tuple[float, np.nd
     return float(np.log(scale).sum() + top.sum()), post, pairs
 
 
+def forward_backward_many(parts: list[np.ndarray], log_t: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """The same for many trajectories at once: total log-likelihood, state probabilities of each, summed transitions.
+
+    Trajectories are ordered by falling length, so at each step those that are still
+    running are the first ones, and one matrix product serves them all.
+    """
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    sizes = np.array([len(parts[i]) for i in order])
+    m, n, k = len(parts), int(sizes[0]), log_t.shape[0]
+    b, top = np.zeros((n, m, k)), 0.0
+    for j, i in enumerate(order):
+        high = parts[i].max(axis=1, keepdims=True)
+        b[: sizes[j], j] = np.exp(parts[i] - high)
+        top += float(high.sum())
+    running = (sizes[None, :] > np.arange(n)[:, None]).sum(axis=1)
+    t = np.exp(log_t)
+    alpha, scale = np.zeros((n, m, k)), np.ones((n, m))
+    for i in range(n):
+        r = running[i]
+        a = b[i, :r] / k if i == 0 else (alpha[i - 1, :r] @ t) * b[i, :r]
+        scale[i, :r] = a.sum(axis=1)
+        alpha[i, :r] = a / scale[i, :r, None]
+    beta, pairs = np.ones((n, m, k)), np.zeros((k, k))
+    for i in range(n - 2, -1, -1):
+        r = running[i + 1]
+        ahead = b[i + 1, :r] * beta[i + 1, :r] / scale[i + 1, :r, None]
+        beta[i, :r] = ahead @ t.T
+        pairs += alpha[i, :r].T @ ahead
+    post = alpha * beta
+    post /= np.maximum(post.sum(axis=2, keepdims=True), 1e-300)
+    out: list = [None] * m
+    for j, i in enumerate(order):
+        out[i] = post[: sizes[j], j]
+    return float(np.log(scale).sum()) + top, out, t * pairs
+
+
+def whole_trajectories(parts: Iterator[pd.DataFrame], frames: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """Feature matrices of whole trajectories from sorted batches, about so many frames at a time."""
+    done: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    key, size = None, 0
+    for part in parts:
+        if not len(part):
+            continue
+        x = np.stack(part["features"].to_numpy()).astype(float)
+        ids = part["traj_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and ids[a] != key:
+                done.append(np.concatenate(held))
+                size += len(done[-1])
+                held = []
+                if size >= frames:
+                    yield done
+                    done, size = [], 0
+            key = ids[a]
+            held.append(x[a:b])
+    if held:
+        done.append(np.concatenate(held))
+    if done:
+        yield done
+
+
 def viterbi(log_b: np.ndarray, log_t: np.ndarray) -> tuple[float, np.ndarray]:
     """The most likely path and its log-probability; of equals the lowest state."""
     n, k = log_b.shape
@@ -92,19 +157,24 @@ class _HMM:
     def _e_step(self, frames: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
         model, log_t, k = self._emission(), np.log(np.maximum(self.transmat_, FLOOR)), self.n_states
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("frame")["features"].to_numpy()).astype(float)
-            ll, post, pairs = forward_backward(model._log_b(x), log_t)
-            return pd.DataFrame({"s": [np.concatenate([[ll], pairs.ravel(), model._sums(x, post).ravel()]).tolist()]})
-
-        parts = frames.groupBy("traj_id").applyInPandas(one, "s array<double>")
+        def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for xs in whole_trajectories(parts):
+                ll, posts, pairs = forward_backward_many([model._log_b(x) for x in xs], log_t)
+                flat = np.concatenate([[ll], pairs.ravel(), model._sums(np.concatenate(xs), np.concatenate(posts)).ravel()])
+                total = flat if total is None else total + flat
+            if total is not None:
+                yield pd.DataFrame({"s": [total.tolist()]})
+
+        # whole trajectories follow one another in a partition, which sends one row
+        parts = frames.mapInPandas(sums, "s array<double>")
         rows = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
         flat = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
         return float(flat[0]), flat[1 : 1 + k * k].reshape(k, k), flat[1 + k * k :]
 
     def fit(self, t: Trajectories):
         """The best of ``n_init`` runs by final log-likelihood."""
-        frames = t.frames().select("traj_id", "frame", "features").repartition("traj_id").persist()
+        frames = self._sorted(t).persist()
         kept = None
         self._width = len(frames.select("features").first()[0])
         for run in range(self.n_init):
@@ -137,7 +207,11 @@ class _HMM:
             raise ValueError(f"unknown reversible_type {self.reversible_type!r}")
 
     def score(self, t: Trajectories) -> float:
-        return self._e_step(t.frames().select("traj_id", "frame", "features"))[0]
+        return self._e_step(self._sorted(t))[0]
+
+    @staticmethod
+    def _sorted(t: Trajectories) -> DataFrame:
+        return t.frames().select("traj_id", "frame", "features").repartition("traj_id").sortWithinPartitions("traj_id", "frame")
 
     def predict(self, t: Trajectories) -> DataFrame:
         """``traj_id``, ``frame``, ``state`` on the most likely path, and ``logprob`` of the trajectory's path."""

@@ -124,6 +124,25 @@ def natural_order(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(natural_key(F.col(column)), column)
 
 
+def open_dataset(spark: SparkSession, path: str, fmt: str | None = None):
+    """A stored dataset by format, guessed from what lies there: ``parquet`` a :class:`Dataset`, else a DataFrame of frames.
+
+    ``dir-npy``, ``pdb`` and ``xyz`` are read by their files. Formats joined by ``-union`` and
+    those without a reader here, such as ``hdf5``, are refused.
+    """
+    from kinetrail.sources.coordinates import READERS, read_coordinates
+
+    if fmt is None:
+        fmt = "parquet" if exists(spark, f"{path}/data") else "dir-npy"
+    if fmt == "parquet":
+        return Dataset(spark, path)
+    if fmt == "dir-npy":
+        return read_npy(spark, path)
+    if fmt in READERS:
+        return read_coordinates(spark, path, fmt)
+    raise ValueError(f"no reader for {fmt!r}")
+
+
 # --- NumPy arrays ---
 
 ARRAY_ROWS = "path string, frame bigint, features array<double>"

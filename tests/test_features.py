@@ -269,6 +269,18 @@ def test_forward_backward_is_the_sum_over_paths():
     assert hmm.viterbi(log_b, np.log(t))[0] == pytest.approx(max(total))
 
 
+def test_many_trajectories_at_once():
+    rng, t = np.random.default_rng(0), np.log(np.array([[0.8, 0.2], [0.3, 0.7]]))
+    parts = [rng.normal(size=(n, 2)) for n in (5, 1, 9, 5)]
+    ll, posts, pairs = hmm.forward_backward_many(parts, t)
+    single = [hmm.forward_backward(p, t) for p in parts]
+    assert ll == pytest.approx(sum(s[0] for s in single)) and np.allclose(pairs, sum(s[2] for s in single))
+    assert all(np.allclose(a, s[1]) for a, s in zip(posts, single))
+    rows = pd.DataFrame({"traj_id": [1, 1, 2, 3, 3, 3], "features": [[float(i)] for i in range(6)]})
+    got = [len(x) for xs in hmm.whole_trajectories(iter([rows.iloc[:1], rows.iloc[1:4], rows.iloc[4:]]), 2) for x in xs]
+    assert got == [2, 1, 3]
+
+
 def test_circular_states(spark):
     rng, t = np.random.default_rng(0), np.array([[0.9, 0.1], [0.1, 0.9]])
     arrays = [rng.vonmises(np.where(chain(t, 500, rng) == 0, 3.0, 0.2), 8.0)[:, None] for _ in range(4)]

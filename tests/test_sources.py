@@ -50,6 +50,9 @@ def test_numpy_directories(spark, tmp_path):
     assert np.load(tmp_path / "00000002.npy").tolist() == [[2.0, j] for j in range(4)]
     back = store.read_npy(spark, str(tmp_path))
     assert back.count() == 12 and back.where("path like '%00000001.npy' and frame = 3").first()["features"] == [1.0, 3.0]
+    assert store.open_dataset(spark, str(tmp_path)).count() == 12
+    with pytest.raises(ValueError):
+        store.open_dataset(spark, str(tmp_path), "hdf5-union")
     with pytest.raises(Exception, match="fit file name"):
         store.write_npy(df, str(tmp_path), name=lambda k: f"../{k}.npy")
 
