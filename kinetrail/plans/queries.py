@@ -757,3 +757,76 @@ def stream_transitions(s, d):
     q = transition_stream(source, "user_id", "ts", "event_type").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.parquet(f"{at}/out").where(F.col("src").isNotNull()).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+# --- the rest of the inventory: rows only, tested against definitions ------------------------
+
+
+@query("cross_validated_scores")
+def cross_validated_scores(s, d):
+    from kinetrail.plans.pipeline import cross_validate
+
+    scores = cross_validate(views.events(s, d), msm.MarkovStateModel(), 5)
+    return s.createDataFrame([(k, float(x)) for k, x in enumerate(scores)], "fold int, score double")
+
+
+@query("pipeline_states")
+def pipeline_states(s, d):
+    """Scaling, slow components and clusters of line items, chained."""
+    from kinetrail.plans.pipeline import Pipeline
+
+    t = views.lines(s, d)
+    steps = [("scale", prep.StandardScaler()), ("tica", decomposition.tICA(2, lag_time=2)), ("cluster", cluster.KMeans(5))]
+    return Pipeline(steps).fit(t).transform(t).df.select("l_orderkey", "l_linenumber", "l_partkey", "label")
+
+
+@query("apm_labels")
+def apm_labels(s, d):
+    from kinetrail.operators.apm import APM
+
+    t = views.event_values(s, d)
+    return APM(2, max_iter=1, max_states=20).fit(t).predict(t.df).select("event_id", "label")
+
+
+query("gmm_labels")(lambda s, d: cluster.GMM(3, 20, 1).fit(views.vectors(s, d).drop("label")).predict(views.vectors(s, d).drop("label")).select("vec_id", "label"))
+query("minibatch_kmeans_labels")(lambda s, d: cluster.MiniBatchKMeans(8).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("agglomerative_labels")(lambda s, d: cluster.AgglomerativeClustering(5, max_sample=300).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("spectral_labels")(lambda s, d: cluster.SpectralClustering(5, max_sample=300).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("affinity_labels")(lambda s, d: cluster.AffinityPropagation(max_sample=200).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("mean_shift_labels")(lambda s, d: cluster.MeanShift(1.2, max_sample=200).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("sparse_pca_transform")(lambda s, d: _projected(s, d, decomposition.SparsePCA(1)))
+query("kernel_pca_transform")(lambda s, d: _projected(s, d, decomposition.KernelPCA(1, 50)))
+
+
+@query("chunks_numbered_through", """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_partkey, CAST(k - 1 AS BIGINT) AS l_linenumber FROM f""")
+def chunks_numbered_through(s, d):
+    """Orders as chunks of a supplier: their lines are numbered through. Lines of one part and number keep its order."""
+    df = table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("l_linenumber"))
+    return store.join_chunks(df, "l_suppkey", "l_orderkey", "l_linenumber", drop_first_duplicate=False)
+
+
+@query("categorical_draws")
+def categorical_draws(s, d):
+    p = s.createDataFrame([(0, 0.2), (1, 0.5), (2, 0.3)], "idx int, p double")
+    return sampling.categorical(table(s, d, "events").select("event_id"), p, F.col("event_id"))
+
+
+@query("double_well_frames")
+def double_well_frames(s, d):
+    return examples.double_well(s, 4, 2000).select("traj_id", "frame", F.col("features")[0].alias("x"))
+
+
+@query("stored_numpy_arrays", "SELECT n_regionkey AS traj_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS frame, CAST(n_nationkey AS DOUBLE) AS v FROM nation")
+def stored_numpy_arrays(s, d):
+    """Frames written as one array a trajectory to the shared folder and read back."""
+    import uuid
+
+    from kinetrail.session import scratch_dir
+
+    t = views.Trajectories(table(s, d, "nation").withColumn("features", F.array(F.col("n_nationkey").cast("double"))), "n_regionkey", ("n_nationkey",), None, "features")
+    at = f"{scratch_dir(s).replace('file:///', '/').replace('file:/', '/')}/arrays-{uuid.uuid4().hex}"
+    store.write_npy(t.frames(), at)
+    back = store.read_npy(s, f"file://{at}")
+    key = F.regexp_extract("path", r"(\d{8})\.npy$", 1).cast("int")
+    return back.select(key.alias("traj_id"), "frame", F.col("features")[0].alias("v"))

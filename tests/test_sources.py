@@ -250,3 +250,21 @@ def test_pipeline_and_folds(spark):
     assert p.named_steps["msm"].n_states_ == 2 and p.named_steps["msm"].transmat_.diagonal().min() > 0.9
     scores = cross_validate(p.transform(t), MarkovStateModel(), 3)
     assert len(scores) == 3 and np.nanmin(scores) > 1.5
+
+
+def test_archive_of_nothing(spark):
+    files, lines = tables(spark)
+    assert archive.packed_index(files.limit(0), lines).count() == 0
+    assert archive.packed_records(files.limit(0), lines.limit(0)).count() == 0
+    assert archive.packed_index(files, lines.limit(0)).count() == 7
+
+
+def test_one_trajectory_with_most_records(spark):
+    files = spark.range(3000).select(
+        F.col("id").alias("chunk_id"), F.concat(F.lit("PROJ1/c"), F.col("id").cast("string")).alias("chunk_fn"),
+        F.array(F.lit(0), F.col("id")).cast("array<bigint>").alias("frames"), F.array(F.lit(1.0), F.lit(2.0)).alias("potential"),
+    )
+    lines = files.groupBy(F.lit("big.dcd").alias("filename")).agg(F.collect_list("chunk_fn").alias("chunks"))
+    gone = archive.surplus_records(archive.chunk_table(files), archive.chunk_owners(lines))
+    assert gone.count() == 2999 and gone.where("frame <> 0").count() == 0
+    assert archive.packed_records(files, lines).count() == 3001
