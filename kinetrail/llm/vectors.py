@@ -64,6 +64,14 @@ def bounded_sample(vectors: DataFrame, n: int, size: int, seed: int = 0) -> np.n
     return matrix(table["vec"].combine_chunks())[order]
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys into ``spark.sql.shuffle.partitions`` parts that are not put together again.
+
+    For stages whose work is far more than their bytes tell.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Lists of one length as rows of a matrix of single precision."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,13 +95,22 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def augmented(y: np.ndarray) -> np.ndarray:
+    """``y`` such that a product with ``(x, 1)`` gives squared distances less the squared norm of ``x``."""
+    return np.ascontiguousarray(np.concatenate([-2 * y, np.einsum("ij,ij->i", y, y)[:, None]], axis=1).T, dtype=np.float32)
+
+
 def nearest(x: np.ndarray, centres: np.ndarray, rows: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest centre of each row and the squared distance to it."""
-    at, d = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    at, d, y = np.empty(len(x), np.int64), np.empty(len(x), np.float32), augmented(centres)
     for a in range(0, len(x), rows):
-        s = squares(x[a : a + rows], centres)
+        part = x[a : a + rows]
+        s = part @ y[:-1]
+        s += y[-1]
         at[a : a + rows] = s.argmin(1)
-        d[a : a + rows] = s[np.arange(len(s)), at[a : a + rows]]
+        # the distance by difference, which loses nothing to large norms
+        e = part - centres[at[a : a + rows]]
+        d[a : a + rows] = np.einsum("ij,ij->i", e, e)
     return at, d
 
 

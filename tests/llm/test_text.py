@@ -152,3 +152,13 @@ def test_long_texts_in_spark(spark):
     whole = {tuple(r) for r in sentences.sentences(df, "doc_id", "text").collect()}
     pieces = {tuple(r) for r in sentences.sentences(df, "doc_id", "text", chunk=400).collect()}
     assert whole == pieces and {r[0] for r in whole} == {1, 5}
+
+
+def test_empty_tables_and_very_long_texts(spark, coder, public, monkeypatch):
+    df = spark.createDataFrame([], "doc_id bigint, text string")
+    assert sentences.sentences(df, "doc_id", "text").count() == 0 and bpe.count_column(df, "text", ["doc_id"]).count() == 0
+    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
+    text = "words of a long text, again and again. " * 50
+    assert coder.encode(text) == public.encode_ordinary(text)
+    big = "One sentence here. " * 20_000
+    assert len(sentences.spans(big)) == 20_000

@@ -102,7 +102,8 @@ def brute_groups(x, distance, least):
 def test_groups_equal_brute_force(spark, monkeypatch, seed, distance):
     monkeypatch.setattr(clusters, "PER_CELL", 60)
     monkeypatch.setattr(clusters, "BLOCK", 50)
-    monkeypatch.setattr(clusters, "GRID", (2, 4, 40))
+    monkeypatch.setattr(clusters, "GRID_BLOCK", 60)
+    monkeypatch.setattr(clusters, "COPY_COST", 1e-9)
     x = cloud(500, seed)
     # a chain that is no group, a group of seven, and two that touch in one vector
     x[:20] = 100 + np.arange(20)[:, None] * distance / 4
