@@ -31,6 +31,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 #: Words kept with their ids in each Python worker; beyond it the memory starts afresh.
 WORD_MEMORY = 100_000
+#: Characters from which a text is read piece by piece.
+LONG_TEXT = 1_000_000
 #: Transducer states kept in each Python worker; beyond it the memory starts afresh.
 STATE_MEMORY = 200_000
 
@@ -221,7 +223,7 @@ class Tokenizer:
         self.ranks = read_ranks(path)
         self.transducer = MergeTransducer(self.ranks)
         self.bytes_of = {i: t for t, i in self.ranks.items()}
-        self.split = regex.compile(PIECES).findall
+        self.pieces = regex.compile(PIECES)
         self.words: dict[str, list[int]] = {}
 
     @classmethod
@@ -237,7 +239,9 @@ class Tokenizer:
         if not text:
             return []
         words, out = self.words, []
-        for piece in self.split(text):
+        # of a very long text no list of pieces is made
+        pieces = self.pieces.findall(text) if len(text) < LONG_TEXT else (m.group() for m in self.pieces.finditer(text))
+        for piece in pieces:
             ids = words.get(piece)
             if ids is None:
                 ids = self.transducer.encode(piece.encode("utf-8", "replace"))
