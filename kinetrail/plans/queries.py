@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinetrail.functions import divergence
-from kinetrail.functions.distances import METRICS, distance
+from kinetrail.functions.distances import METRICS
 from kinetrail.operators import bayes, cluster, counting, decomposition, featurizers, fragment, hmm, lumping, msm, ratematrix, sampling, tpt
 from kinetrail.operators import preprocessing as prep
 from kinetrail.plans import views
@@ -472,7 +472,6 @@ def landmark_agglomerative_labels(s, d):
 
 # --- preprocessing ------------------------------------------------------------------
 
-_X = "(SELECT l_orderkey, l_linenumber, l_partkey, CAST({} AS DOUBLE) AS x FROM lineitem)"
 _LINE_SQL = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_partkey, {i} AS i, CAST({e} AS DOUBLE) AS x FROM lineitem" for i, e in enumerate(views.LINE_FEATURES))
 
 
@@ -499,15 +498,7 @@ _SCALERS = {
 for _name, (_kind, _sql) in _SCALERS.items():
     query(_name, _scaler_sql(_sql))(lambda s, d, k=_kind: _scaled(s, d, k()))
 
-_ROWNORM = "OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey)"
-
-
-def _rows(s, d, transformer):
-    """Line items are told by three keys, except for a few that agree in them: these are taken together."""
-    return _scaled(s, d, transformer)
-
-
-query("binarizer", _scaler_sql("CASE WHEN x > 5 THEN 1.0 ELSE 0.0 END"))(lambda s, d: _rows(s, d, prep.Binarizer(5.0)))
+query("binarizer", _scaler_sql("CASE WHEN x > 5 THEN 1.0 ELSE 0.0 END"))(lambda s, d: _scaled(s, d, prep.Binarizer(5.0)))
 
 
 @query("normalizer_l1", f"""SELECT vec_id, i - 1 AS i, round(x[i] / list_sum(list_transform(x, lambda v: abs(v))), 8) AS v FROM (SELECT vec_id, x, unnest(range(1, 65)) AS i FROM {_VEC})""")
