@@ -22,25 +22,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kinetrail.llm.vectors import VectorSet, bounded_sample, lists, lloyd, matrix, nearest, squares, vector_set
-from kinetrail.session import materialize
+from kinetrail.llm.vectors import VectorSet, bounded_sample, lists, lloyd, matrix, nearest, spread_by, squares, vector_set
 
 #: Vectors that the codebooks are fitted on, at most; every vector is encoded.
 FIT_ON = 40_000
 #: Vectors a cell on the average, as far as the largest coarse codebook allows.
-PER_CELL = 1024
+PER_CELL = 256
 MOST_CELLS = 4096
 #: Residual codebooks and codewords in each.
 BOOKS, WORDS = 8, 256
 BEAM = 4
 #: Cells that a query visits for its nearest vectors.
-PROBES = 8
-#: Vectors of a cell that are ranked exactly, for each query and cell.
-RERANK = 80
-#: Vectors of a cell that one task holds; larger cells are split in blocks.
+PROBES = 16
+#: Vectors that are ranked exactly for each query in a cell: in each of the ``NEAREST`` first cells, and in each further one.
+NEAREST, RERANK, RERANK_FAR = 3, 160, 48
+#: Vectors that one task holds: neighbouring cells make up a region of about so many, larger ones are split in blocks.
 BLOCK = 8192
 
 
@@ -49,13 +47,12 @@ class Codebooks:
     coarse: np.ndarray
     residual: tuple[np.ndarray, ...]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Cell, codes, squared norm of the sum of codewords, and error of each vector."""
-        cell, _ = nearest(x, self.coarse)
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, squared norm of the sum of codewords, and error of each vector in its cell."""
         rest = x - self.coarse[cell]
         codes, error = beam_encode(rest, self.residual, BEAM)
         decoded = sum(book[codes[:, m]] for m, book in enumerate(self.residual))
-        return cell, codes, np.einsum("ij,ij->i", decoded, decoded), error
+        return codes, np.einsum("ij,ij->i", decoded, decoded), error
 
 
 def beam_encode(x: np.ndarray, books: tuple[np.ndarray, ...], beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,150 +94,208 @@ def fit_codebooks(sample: np.ndarray, n: int, seed: int = 0) -> Codebooks:
     return Codebooks(coarse, tuple(books))
 
 
-INDEXED = "id bigint, vec array<float>, cell int, block int, codes binary, norm float, error float, query boolean"
+def regions(coarse: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """The region of each cell: neighbouring cells together, so that a query goes to few tasks for many cells."""
+    k = int(np.clip(-(-n // (BLOCK // 2)), 1, len(coarse)))
+    rng = np.random.default_rng(seed)
+    return nearest(coarse, lloyd(coarse, coarse[rng.permutation(len(coarse))[:k]], 5))[0]
+
+
+INDEXED = "id bigint, vec array<float>, region int, block int, cell int, codes binary, norm float, error float, cells array<int>, near int"
 
 
-def _index(vectors: DataFrame, books: Codebooks, blocks: dict[int, int], probes: int, within: float | None, every: int) -> DataFrame:
-    """A row for each vector in its cell, and one for each cell that it visits as a query."""
-    count = np.ones(len(books.coarse), np.int64)
-    for c, b in blocks.items():
-        count[c] = b
+def _index(vectors: DataFrame, books: Codebooks, region: np.ndarray, blocks: np.ndarray, probes: int, within: float | None, every: int) -> DataFrame:
+    """A row for each vector in its region, and one for each region that it visits as a query, with the cells it visits there, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 ids, x = part.column(0).to_numpy(), matrix(part.column(1))
-                cell, codes, norm, error = books.encode(x)
-                block = (ids * 2654435761 % 1_000_003) % count[cell]
-                yield _rows(ids, x, cell, block, codes, norm, error)
+                d = squares(x, books.coarse)
+                cell = d.argmin(axis=1)
+                codes, norm, error = books.encode(x, cell)
+                home = region[cell]
+                block = (ids * 2654435761 % 1_000_003) % blocks[home]
+                yield _rows(ids, x, home, block, cell=cell, codes=codes, norm=norm, error=error)
                 asks = np.flatnonzero(ids % every == 0)
-                if not len(asks):
-                    continue
-                d = np.sqrt(squares(x[asks], books.coarse))
-                visit = np.zeros(d.shape, bool)
-                if probes:
-                    k = min(probes, d.shape[1])
-                    visit[np.arange(len(asks))[:, None], np.argpartition(d, k - 1, axis=1)[:, :k]] = True
-                if within is not None:
-                    visit |= d <= d.min(1)[:, None] + 2 * within + 1e-3
-                q, c = np.nonzero(visit)
-                times = count[c]
-                q, c, b = np.repeat(q, times), np.repeat(c, times), np.concatenate([np.arange(t) for t in times])
-                for i in range(0, len(q), 16384):
-                    s = slice(i, i + 16384)
-                    yield _rows(ids[asks[q[s]]], x[asks[q[s]]], c[s], b[s])
+                if len(asks):
+                    yield from _questions(ids[asks], x[asks], np.sqrt(d[asks]), region, blocks, probes, within)
 
     return vectors.mapInArrow(run, INDEXED)
 
 
-def _rows(ids, x, cell, block, codes=None, norm=None, error=None) -> pa.RecordBatch:
+def _questions(ids, x, d: np.ndarray, region: np.ndarray, blocks: np.ndarray, probes: int, within: float | None) -> Iterator[pa.RecordBatch]:
+    if within is None:
+        order = _first(d, probes)
+        q, rank, cell = np.repeat(np.arange(len(ids)), order.shape[1]), np.tile(np.arange(order.shape[1]), len(ids)), order.ravel()
+    else:
+        q, cell = np.nonzero(d <= d.min(axis=1)[:, None] + np.float32(2 * within + 1e-2))
+        rank = np.zeros(len(q), np.int64)
+    by = np.lexsort((rank, region[cell], q))
+    q, rank, cell = q[by], rank[by], cell[by]
+    where = region[cell]
+    cuts = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (where[1:] != where[:-1]))))
+    ends = np.append(cuts[1:], len(q))
+    near = np.add.reduceat((rank < NEAREST).astype(np.int32), cuts)
+    times = blocks[where[cuts]]
+    row = np.repeat(np.arange(len(cuts)), times)
+    block = np.concatenate([np.arange(t) for t in times])
+    for i in range(0, len(row), 8192):
+        r = row[i : i + 8192]
+        size = ends[r] - cuts[r]
+        flat = np.repeat(cuts[r] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(cell[flat].astype(np.int32)))
+        yield _rows(ids[q[cuts[r]]], x[q[cuts[r]]], where[cuts[r]], block[i : i + 8192], cells=cells, near=near[r])
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` smallest of each row in order."""
+    k = min(k, d.shape[1])
+    at = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _rows(ids, x, region, block, cell=None, codes=None, norm=None, error=None, cells=None, near=None) -> pa.RecordBatch:
     n = len(ids)
     asks = codes is None
+    number = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(np.asarray(v)).cast(kind)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids),
             lists(x),
-            pa.array(cell.astype(np.int32)),
+            pa.array(region.astype(np.int32)),
             pa.array(block.astype(np.int32)),
+            number(cell, pa.int32()),
             pa.nulls(n, pa.binary()) if asks else pa.array([c.tobytes() for c in codes], pa.binary()),
-            pa.nulls(n, pa.float32()) if asks else pa.array(norm.astype(np.float32)),
-            pa.nulls(n, pa.float32()) if asks else pa.array(error.astype(np.float32)),
-            pa.array(np.full(n, asks)),
+            number(norm, pa.float32()),
+            number(error, pa.float32()),
+            cells if asks else pa.nulls(n, pa.list_(pa.int32())),
+            number(near, pa.int32()),
         ],
-        ["id", "vec", "cell", "block", "codes", "norm", "error", "query"],
+        ["id", "vec", "region", "block", "cell", "codes", "norm", "error", "cells", "near"],
     )
 
 
-class _Cell:
-    """The vectors of one block of a cell, gathered from batches."""
+class _Region:
+    """The vectors of one block of a region, by cell."""
 
-    def __init__(self, books: Codebooks, cell: int):
-        self.books, self.cell, self.parts = books, cell, []
-        self.ready = False
+    def __init__(self, books: Codebooks):
+        self.books, self.parts = books, []
+        self.cells: dict[int, slice] | None = None
 
     def add(self, t: pa.RecordBatch) -> None:
-        codes = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        self.parts.append((t.column(0).to_numpy(), matrix(t.column(1)), codes, t.column(5).to_numpy(), t.column(6).to_numpy()))
+        codes = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        self.parts.append((t.column(4).to_numpy(), t.column(0).to_numpy(), matrix(t.column(1)), codes, t.column(6).to_numpy(), t.column(7).to_numpy()))
 
     def close(self) -> None:
-        if not self.ready and self.parts:
-            self.ids, self.x, codes, self.norm, self.error = (np.concatenate(p) for p in zip(*self.parts))
-            # each codebook's column of codes, ready for lookups
-            self.codes = [np.ascontiguousarray(codes[:, m]).astype(np.intp) for m in range(codes.shape[1])]
-            self.ready = True
-
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, within: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.cells is not None:
+            return
+        self.cells = {}
+        if not self.parts:
+            return
+        cell, ids, x, codes, norm, error = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.argsort(cell, kind="stable")
+        self.ids, self.x, self.norm, self.error = ids[order], x[order], norm[order], error[order]
+        # each codebook's column of codes, ready for lookups
+        self.codes = [np.ascontiguousarray(codes[order, m]).astype(np.intp) for m in range(codes.shape[1])]
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        self.cells = {int(cell[a]): slice(a, b) for a, b in zip(first, np.append(first[1:], len(cell)))}
+
+    def search(self, ids: np.ndarray, q: np.ndarray, cells: pa.Array, near: np.ndarray, k: int, within: float | None):
         """For queries: index, neighbour and exact distance of the best ``k``, or of those ``within``."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         self.close()
-        if not self.ready:
-            return none
-        found = [none]
-        rows = max(16, min(1024, 4_000_000 // max(1, len(self.ids))))
-        for a in range(0, len(ids), rows):
-            found.append(self._search(ids[a : a + rows], q[a : a + rows], k, within, a))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def _search(self, ids, q, k, within, offset):
-        rest = q - self.books.coarse[self.cell]
-        score = np.tile(self.norm, (len(q), 1))
-        for book, codes in zip(self.books.residual, self.codes):
-            score += np.take(rest @ (-2 * book.T), codes, axis=1)
-        own = np.einsum("ij,ij->i", rest, rest)
-        if within is not None:
-            # what may lie within, by the stored error; exact distances follow
-            reach = (within + self.error + 1e-2) ** 2
-            i, j = np.nonzero(score <= reach[None, :] - own[:, None])
-        else:
-            r = min(max(RERANK, k + 1), score.shape[1])
-            j = np.argpartition(score, r - 1, axis=1)[:, :r] if r < score.shape[1] else np.tile(np.arange(r), (len(q), 1))
-            i = np.repeat(np.arange(len(q)), r)
-            j = j.ravel()
-        d = np.sqrt(np.sum((q[i].astype(np.float64) - self.x[j]) ** 2, axis=1))
-        fine = ids[i] != self.ids[j]
+        sizes = np.diff(cells.offsets.to_numpy())
+        at = np.repeat(np.arange(len(ids)), sizes)
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = cells.values.to_numpy()[cells.offsets[0].as_py() :][: len(at)]
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        by = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) != 0))) if len(flat) else []
+        for a, b in zip(starts, np.append(starts[1:], len(flat)) if len(flat) else []):
+            cell = int(flat[by[a]])
+            if cell not in self.cells:
+                continue
+            mine = by[a:b]
+            if within is not None:
+                groups = [(mine, None)]
+            else:
+                close = rank[mine] < near[at[mine]]
+                groups = [(mine[close], RERANK), (mine[~close], RERANK_FAR)]
+            for m, r in groups:
+                for c in range(0, len(m), 1024):
+                    i, j = self._candidates(q[at[m[c : c + 1024]]], cell, max(r, k + 1) if r else None, within)
+                    found_i.append(at[m[c : c + 1024]][i])
+                    found_j.append(j)
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        d = np.empty(len(i))
+        for c in range(0, len(i), 1 << 18):
+            s = slice(c, c + (1 << 18))
+            e = q[i[s]].astype(np.float64) - self.x[j[s]]
+            d[s] = np.sqrt(np.einsum("ij,ij->i", e, e))
+        fine = ids[i] != self.ids[j] if len(i) else np.zeros(0, bool)
         if within is not None:
             fine &= d <= within
         i, j, d = i[fine], j[fine], d[fine]
-        order = np.lexsort((self.ids[j], d, i))
+        order = np.lexsort((self.ids[j] if len(j) else j, d, i))
         i, j, d = i[order], j[order], d[order]
-        first = np.searchsorted(i, i)  # place of the first of each query
-        best = np.arange(len(i)) - first < k
-        return i[best] + offset, self.ids[j[best]], d[best]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[best], self.ids[j[best]] if best.any() else j[best], d[best]
+
+    def _candidates(self, q: np.ndarray, cell: int, r: int | None, within: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Query and vector of what the lookup tables score best in a cell, or of all that may lie within."""
+        own = self.cells[cell]
+        rest = q - self.books.coarse[cell]
+        score = np.tile(self.norm[own], (len(q), 1))
+        for book, codes in zip(self.books.residual, self.codes):
+            score += np.take(rest @ (-2 * book.T), codes[own], axis=1)
+        if within is not None:
+            reach = (within + self.error[own] + 1e-2) ** 2
+            i, j = np.nonzero(score <= reach[None, :] - np.einsum("ij,ij->i", rest, rest)[:, None])
+        elif r < score.shape[1]:
+            j = np.argpartition(score, r - 1, axis=1)[:, :r]
+            i, j = np.repeat(np.arange(len(q)), r), j.ravel()
+        else:
+            i, j = np.repeat(np.arange(len(q)), score.shape[1]), np.tile(np.arange(score.shape[1]), len(q))
+        return i, j + own.start
 
 
 FOUND = "id bigint, ids array<bigint>, ds array<double>"
 
 
 def _scan(indexed: DataFrame, books: Codebooks, k: int, within: float | None) -> DataFrame:
-    """The best of each query in each block of a cell it visits. A task holds one block of vectors and streams its queries."""
-    rows = indexed.repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
+    """The best of each query in each block of a region it visits. A task holds one block of vectors and streams its queries."""
+    # vectors, which have a cell, come before queries
+    rows = spread_by(indexed, "region", "block").sortWithinPartitions("region", "block", F.col("cell").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, key = None, None
         for batch in batches:
-            keys = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy(), np.asarray(batch.column(7))], 1)
+            query = np.asarray(batch.column(4).is_null())
+            keys = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy(), query], 1)
             cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                cell, block, query = keys[a]
-                if key != (cell, block):
-                    now, key = _Cell(books, int(cell)), (cell, block)
-                part = batch.slice(a, b - a)
-                if not query:
-                    now.add(part)
+                region, block, asks = keys[a]
+                if key != (region, block):
+                    now, key = _Region(books), (region, block)
+                if not asks:
+                    now.add(batch.slice(a, b - a))
                     continue
-                ids = part.column(0).to_numpy()
-                i, other, d = now.search(ids, matrix(part.column(1)), k, within)
-                if len(i):
-                    n = np.bincount(i, minlength=len(ids))
-                    has = np.flatnonzero(n)
-                    ends = pa.array(np.concatenate(([0], np.cumsum(n[has]))).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[has]), pa.ListArray.from_arrays(ends, pa.array(other)), pa.ListArray.from_arrays(ends, pa.array(d.astype(np.float64)))],
-                        ["id", "ids", "ds"],
-                    )
+                for c in range(a, b, 2048):
+                    part = batch.slice(c, min(2048, b - c))
+                    ids = part.column(0).to_numpy()
+                    i, other, d = now.search(ids, matrix(part.column(1)), part.column(8), part.column(9).to_numpy(), k, within)
+                    if len(i):
+                        n = np.bincount(i, minlength=len(ids))
+                        has = np.flatnonzero(n)
+                        ends = pa.array(np.concatenate(([0], np.cumsum(n[has]))).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[has]), pa.ListArray.from_arrays(ends, pa.array(other)), pa.ListArray.from_arrays(ends, pa.array(d.astype(np.float64)))],
+                            ["id", "ids", "ds"],
+                        )
 
     return rows.mapInArrow(run, FOUND)
 
@@ -259,7 +314,7 @@ def similar_vectors(
 
     With ``within`` only those at most so far, which are then found without loss:
     the limit is pushed into the search. Else the loss is that of visiting ``PROBES``
-    cells and ranking ``RERANK`` vectors of each exactly; see the README for its
+    cells and ranking so many vectors of each exactly; see the README for its
     measure. ``every`` takes as queries the ids divisible by it, against all vectors.
 
     Vectors with another number of elements, a NULL, NaN or infinity are left out,
@@ -270,12 +325,16 @@ def similar_vectors(
     vectors = vector_set(df, key, vector, width)
     if vectors.n == 0:
         return df.sparkSession.createDataFrame([], "id bigint, other bigint, distance double")
-    books = fit_codebooks(bounded_sample(vectors.distinct, vectors.n, FIT_ON, seed), vectors.n, seed)
+    sample = bounded_sample(vectors.distinct, vectors.n, FIT_ON, seed)
+    books = fit_codebooks(sample, vectors.n, seed)
     probes = 0 if within is not None else PROBES
-    cells = _cells(vectors, books)
-    blocks = {c: -(-n // BLOCK) for c, n in cells.items() if n > BLOCK}
+    region = regions(books.coarse, vectors.n, seed)
+    # how many vectors a region holds, by its part of the sample: this only shares out the work
+    counts = np.bincount(region[nearest(sample, books.coarse)[0]], minlength=int(region.max()) + 1)
+    sizes = np.ceil(counts * (vectors.n / len(sample))).astype(np.int64)
+    blocks = np.maximum(-(-sizes // BLOCK), 1)
     asked = every if not vectors.n_copies else 1
-    found = _best(_scan(_index(vectors.distinct, books, blocks, probes, within, asked), books, k, within), k)
+    found = _best(_scan(_index(vectors.distinct, books, region, blocks, probes, within, asked), books, k, within), k)
     if vectors.n_copies:
         out = _with_copies(found, vectors, k, every)
     else:
@@ -283,20 +342,6 @@ def similar_vectors(
     return out.select("id", F.col("x.other").alias("other"), F.col("x.d").alias("distance"))
 
 
-def _cells(vectors: VectorSet, books: Codebooks) -> dict[int, int]:
-    """How many vectors each cell holds: at most ``MOST_CELLS`` numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(books.coarse), np.int64)
-        for batch in batches:
-            n += np.bincount(nearest(matrix(batch.column(0)), books.coarse)[0], minlength=len(n))
-        has = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(n[has])], ["cell", "n"])
-
-    rows = vectors.distinct.select("vec").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    return {r["cell"]: r["n"] for r in rows.collect()}
-
-
 def _with_copies(found: DataFrame, vectors: VectorSet, k: int, every: int) -> DataFrame:
     """Neighbours where several ids have one vector: the ids of a representative stand in its place, and are each other's nearest.
 
