@@ -367,7 +367,8 @@ class BoundaryTransducer:
         opens = c in OPENERS or c == '"' or c == "”" and not tight
         if opens and partner and len(stack) < DEPTH:
             closer = '"' if c == '"' else "“" if c == "”" else OPENERS[c]
-            role = "start" if fresh else (led or "mid")
+            # only the role of the outermost mark is ever asked for
+            role = "mid" if stack else "start" if fresh else (led or "mid")
             return (mode, False, (*stack, (closer, role))), False
         if not opens and not stack and after and (follow == "r" or starts(follow)) and follow != "x":
             return (mode, True, ()), True
@@ -428,10 +429,13 @@ def trimmed_spans(text: str, cuts: list[int]) -> list[tuple[int, int]]:
 def transition(text: str, low: int, high: int) -> list[tuple]:
     """A piece as a function: pairs of state before and after, for every state that a piece can begin in.
 
+    Marks that the piece does not close are one, ``OTHER``: they stay where they are or go with those around them.
     States that have become equal are carried on together; after a blank line all have.
     """
-    groups: dict[tuple, list[tuple]] = {s: [s] for s in all_states()}
-    for _, _, symbol in events(text, low, high):
+    symbols = [symbol for _, _, symbol in events(text, low, high)]
+    closers = {symbol[1] for symbol in symbols if symbol[0] == "mark"} & CLOSERS
+    groups: dict[tuple, list[tuple]] = {s: [s] for s in all_states(closers)}
+    for symbol in symbols:
         after: dict[tuple, list[tuple]] = {}
         for s, origin in groups.items():
             after.setdefault(_transducer.step(s, symbol)[0], []).extend(origin)
@@ -439,19 +443,41 @@ def transition(text: str, low: int, high: int) -> list[tuple]:
     return [(o, s) for s, origin in groups.items() for o in origin]
 
 
-def all_states() -> list[tuple]:
-    """States with at most one open mark and, in pairs, with two; a piece is taken to begin in one of these."""
-    modes = ("text", "head", "log", "bul", "num", "par", "abc")
-    closers = sorted(CLOSERS)
-    roles = ("start", "colon", "comma", "mid")
-    one = [((c, r),) for c in closers for r in roles]
-    two = [(a[0], (c, "mid")) for a in one for c in closers]
-    return [(m, f, s) for m in modes for s in [(), *one, *two] for f in ((True, False) if not s else (False,))]
+#: In the function of a piece, any open mark that the piece does not close.
+OTHER = "*"
+
+
+def all_states(closers: set[str]) -> list[tuple]:
+    """Every state in which a piece that closes these marks can begin, up to ``DEPTH`` open marks.
+
+    Heads and log lines open none, and with open marks a sentence has begun.
+    """
+    marks = [*sorted(closers), OTHER]
+    stacks: list[tuple] = [()]
+    last = [((c, r),) for c in marks for r in ("start", "colon", "comma", "mid")]
+    for _ in range(DEPTH):
+        stacks += last
+        last = [(*s, (c, "mid")) for s in last for c in marks]
+    bare = [(m, f, ()) for m in ("head", "log") for f in (True, False)]
+    return bare + [(m, f, s) for m in ("text", "bul", "num", "par", "abc") for s in stacks for f in ((True, False) if not s else (False,))]
+
+
+def closers_of(function: dict) -> set[str]:
+    """The marks that a piece can close, from its function."""
+    return {c for _, _, stack in function for c, _ in stack} - {OTHER}
+
+
+def apply(function: dict, state: tuple, closers: set[str]) -> tuple:
+    """The state after a piece that closes ``closers``. What it leaves of the marks open before lies where it lay."""
+    mode, fresh, stack = state
+    mode, fresh, left = function[mode, fresh, tuple((c if c in closers else OTHER, r) for c, r in stack)]
+    return mode, fresh, tuple(stack[i] if c == OTHER else (c, r) for i, (c, r) in enumerate(left))
 
 
 def compose(first: dict, second: dict) -> dict:
     """The function of two pieces one after the other."""
-    return {s: second.get(t, second.get((t[0], t[1], t[2][:2]))) for s, t in first.items()}
+    a, b = closers_of(first), closers_of(second)
+    return {s: apply(second, apply(first, s, a), b) for s in all_states(a | b)}
 
 
 def prefix_scan(functions: list[dict]) -> list[dict]:
@@ -500,7 +526,7 @@ def sentences(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFra
 
 
 def _long(rows: DataFrame, key: str, schema: T.StructType, chunk: int) -> DataFrame:
-    """Sentences of long texts: functions of pieces, their prefix scan, and a second reading of each piece."""
+    """Sentences of long texts: functions of pieces, applied in order from the start, and a second reading of each piece."""
     pieces = rows.select("__key", F.length("__text").alias("size"), "__text", F.explode(F.sequence(F.lit(0), F.length("__text") - 1, F.lit(chunk))).alias("low"))
     pieces = pieces.select(
         "__key", "low", "size", F.least(F.col("low") + chunk, F.col("size")).alias("high"), F.greatest(F.col("low") - AROUND, F.lit(0)).alias("from"), "__text"
@@ -521,8 +547,10 @@ def _long(rows: DataFrame, key: str, schema: T.StructType, chunk: int) -> DataFr
 
     def scan(pdf):
         pdf = pdf.sort_values("low")
-        upto = prefix_scan([{_freeze(a): _freeze(b) for a, b in json.loads(f)} for f in pdf["f"]])
-        states = [START, *(f[START] for f in upto[:-1])]
+        states = [START]
+        for f in pdf["f"].iloc[:-1]:
+            function = {_freeze(a): _freeze(b) for a, b in json.loads(f)}
+            states.append(apply(function, states[-1], closers_of(function)))
         return pdf[["__key", "low"]].assign(state=[json.dumps(s) for s in states])
 
     states = pieces.mapInArrow(functions, f_schema).groupBy("__key").applyInPandas(scan, s_schema)

@@ -146,6 +146,35 @@ def test_functions_of_pieces_compose():
     assert [f[sentences.START] for f in sentences.prefix_scan(functions)] == states
 
 
+NESTED = [
+    'They wrote (he said, "We ran it. It failed." Then left.) and went. More follows. End.',
+    "Log: “Start (see «the ‹old› note. Really?» here. So.) and stop.” Then more. End.",
+    "A (b [c {d} “e. F.” g.] h. I) j. Next, “(one [two] three.)” Last.",
+]
+
+
+@pytest.mark.parametrize("text", NESTED)
+def test_functions_of_pieces_compose_at_every_offset(text):
+    for a in range(1, len(text)):
+        for size in (1, 2, 7, len(text)):
+            edges = [(0, a), *((low, min(low + size, len(text))) for low in range(a, len(text), size))]
+            functions = [dict(sentences.transition(text, *e)) for e in edges[:4]]
+            state, states, cuts = sentences.START, [], []
+            for e in edges:
+                found, state = sentences.read(text, state, *e)
+                states.append(state)
+                cuts += [c for c, _ in found]
+            assert [f[sentences.START] for f in sentences.prefix_scan(functions)] == states[:4]
+            assert sentences.trimmed_spans(text, sorted({0, *cuts, len(text)})) == sentences.spans(text)
+
+
+@pytest.mark.parametrize("chunk", [5, 11])
+def test_nested_quotations_in_pieces_in_spark(spark, chunk):
+    df = spark.createDataFrame(list(enumerate(NESTED)), "doc_id bigint, text string")
+    whole = {(i, *s) for i, text in enumerate(NESTED) for s in sentences.spans(text)}
+    assert {tuple(r) for r in sentences.sentences(df, "doc_id", "text", chunk=chunk).collect()} == whole
+
+
 def test_long_texts_in_spark(spark):
     long = "\n\n".join(c.replace("|", "") for c in CASES)
     df = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, " \n "), (5, CASES[0].replace("|", ""))], "doc_id bigint, text string").withColumn("low", sentences.F.lit(1))
