@@ -275,12 +275,12 @@ def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
         d = d**2
     np.fill_diagonal(d, np.inf)
     size, name = np.ones(n), list(range(n))
-    live = np.ones(n, bool)
+    near = d.argmin(axis=1)  # of each row, the first of its nearest
+    least = d[np.arange(n), near]
     out = []
     for step in range(n - 1):
-        masked = np.where(live[:, None] & live[None, :], d, np.inf)
-        i, j = divmod(int(np.argmin(masked)), n)
-        i, j = min(i, j), max(i, j)
+        i = int(np.argmin(least))
+        i, j = sorted((i, int(near[i])))
         h = d[i, j]
         a, b = size[i], size[j]
         if method == "single":
@@ -295,7 +295,11 @@ def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
             raise ValueError(f"unknown linkage {method}")
         new[i] = new[j] = np.inf
         d[i], d[:, i] = new, new
-        live[j] = False
+        d[j], d[:, j] = np.inf, np.inf
+        stale = np.flatnonzero((near == i) | (near == j) | (new < least) | (new == least) & (i < near))
+        stale = np.union1d(stale, [i, j])
+        near[stale] = d[stale].argmin(axis=1)
+        least[stale] = d[stale, near[stale]]
         pair = sorted((name[i], name[j]))
         size[i] = a + b
         out.append((*pair, math.sqrt(h) if method == "ward" else h, a + b))

@@ -2,7 +2,7 @@
 
 Every clusterer keeps its centres on the driver, where there are few, and assigns
 with them in Arrow batches or array expressions. Algorithms that need all pairs
-of their points work on a bounded sample, which is a parameter.
+of their points take all rows to the driver, or a sample where one is asked for.
 """
 
 from __future__ import annotations
@@ -93,10 +93,12 @@ class Clusterer:
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).predict(df)
 
-    def _sample(self, df: DataFrame, most: int, seed: int, order: list[str] | None = None) -> np.ndarray:
-        """At most ``most`` rows by the hash of the row, in ``order``."""
+    def _sample(self, df: DataFrame, most: int | None, seed: int, order: list[str] | None = None) -> np.ndarray:
+        """At most ``most`` rows by the hash of the row, or all, in ``order``."""
         cols = order or [self.features]
-        rows = df.select(*dict.fromkeys([*cols, self.features])).orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(most)
+        rows = df.select(*dict.fromkeys([*cols, self.features]))
+        if most is not None:
+            rows = rows.orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(most)
         rows = rows.orderBy(*cols).collect()
         return np.array([r[self.features] for r in rows], float)
 
@@ -231,38 +233,45 @@ def _lead(x: np.ndarray, known: np.ndarray, d_min: float, metric: str) -> tuple[
 
 
 class KMedoids(Clusterer):
-    """Alternation of assignment and medoids on a bounded sample; the best of several random starts."""
+    """Alternation of assignment and medoids over all rows, or a sample of ``max_sample``; the best of several random starts.
 
-    def __init__(self, n_clusters: int = 8, n_passes: int = 1, metric: str = "euclidean", max_sample: int = 2000, seed: int = 0, features: str = "features"):
+    Distances are made in blocks when needed, so the driver holds the rows but not all pairs.
+    """
+
+    def __init__(self, n_clusters: int = 8, n_passes: int = 1, metric: str = "euclidean", max_sample: int | None = None, seed: int = 0, features: str = "features"):
         self.n_clusters, self.n_passes, self.metric, self.max_sample, self.seed, self.features = n_clusters, n_passes, metric, max_sample, seed, features
 
     def fit(self, df: DataFrame) -> KMedoids:
         x = self._sample(df, self.max_sample, self.seed)
         if len(x) < self.n_clusters:
             raise ValueError("fewer rows than clusters")
-        d = pairwise(x, x, self.metric)
         rng = np.random.default_rng(self.seed)
         best = (np.inf, None)
         for _ in range(self.n_passes):
             medoids = rng.choice(len(x), self.n_clusters, replace=False)
-            best = min(best, _medoid_rounds(d, medoids), key=lambda b: b[0])
+            best = min(best, _medoid_rounds(x, medoids, self.metric), key=lambda b: b[0])
         self.inertia_ = best[0]
         self.cluster_centers_ = x[np.sort(best[1])]
         return self
 
 
-def _medoid_rounds(d: np.ndarray, medoids: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray]:
+#: Rows whose distances to all others are made at once.
+BLOCK = 1000
+
+
+def _medoid_rounds(x: np.ndarray, medoids: np.ndarray, metric: str, rounds: int = 300) -> tuple[float, np.ndarray]:
     for _ in range(rounds):
-        labels = d[:, medoids].argmin(axis=1)
+        labels = pairwise(x, x[medoids], metric).argmin(axis=1)
         new = medoids.copy()
         for k in range(len(medoids)):
             inside = np.flatnonzero(labels == k)
             if len(inside):
-                new[k] = inside[d[np.ix_(inside, inside)].sum(axis=0).argmin()]
+                cost = np.concatenate([pairwise(x[inside], x[inside[i : i + BLOCK]], metric).sum(axis=0) for i in range(0, len(inside), BLOCK)])
+                new[k] = inside[cost.argmin()]
         if (new == medoids).all():
             break
         medoids = new
-    return float(d[:, medoids].min(axis=1).sum()), medoids
+    return float(pairwise(x, x[medoids], metric).min(axis=1).sum()), medoids
 
 
 class MiniBatchKMedoids(Clusterer):
@@ -282,7 +291,7 @@ class MiniBatchKMedoids(Clusterer):
             if not len(batch):
                 break
             pool = np.vstack([centers, batch])
-            _, m = _medoid_rounds(pairwise(pool, pool, self.metric), np.arange(self.n_clusters))
+            _, m = _medoid_rounds(pool, np.arange(self.n_clusters), self.metric)
             still = still + 1 if set(m.tolist()) == set(range(self.n_clusters)) else 0
             centers = pool[m]
             if still >= self.max_no_improvement:
@@ -401,9 +410,9 @@ class GMM:
 
 
 class _SampleClusterer(Clusterer):
-    """Clusterers of a bounded sample; other rows take the label of the nearest sampled row."""
+    """Clusterers of all rows, or of a sample of ``max_sample``; any row takes the label of the nearest row that was fitted."""
 
-    def __init__(self, max_sample: int = 1000, metric: str = "euclidean", seed: int = 0, features: str = "features"):
+    def __init__(self, max_sample: int | None = None, metric: str = "euclidean", seed: int = 0, features: str = "features"):
         self.max_sample, self.metric, self.seed, self.features = max_sample, metric, seed, features
 
     def _labels(self, x: np.ndarray) -> np.ndarray:
@@ -415,8 +424,9 @@ class _SampleClusterer(Clusterer):
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        labels = np.asarray(self.labels_, np.int32)
         near = assign_nearest(df, self.sample_, self.metric, self.features)
-        return near.withColumn("label", F.element_at(F.array(*(F.lit(int(v)) for v in self.labels_)), F.col("label") + 1))
+        return near.withColumn("label", F.pandas_udf(lambda at: pd.Series(labels[at.to_numpy()]), "int")("label"))
 
     transform = predict
 
@@ -431,7 +441,7 @@ class AgglomerativeClustering(_SampleClusterer):
 
 
 class SpectralClustering(_SampleClusterer):
-    """k-means on the leading eigenvectors of the normalised affinity of a sample."""
+    """k-means on the leading eigenvectors of the normalised affinity."""
 
     def __init__(self, n_clusters: int = 8, gamma: float = 1.0, **kw):
         super().__init__(**kw)
@@ -467,7 +477,7 @@ def _small_kmeans(y: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 class AffinityPropagation(_SampleClusterer):
-    """Messages between the points of a sample until exemplars stand."""
+    """Messages between the points until exemplars stand."""
 
     def __init__(self, damping: float = 0.7, max_iter: int = 200, preference: float | None = None, **kw):
         super().__init__(**kw)
@@ -503,22 +513,25 @@ class AffinityPropagation(_SampleClusterer):
 
 
 class MeanShift(_SampleClusterer):
-    """Points of a sample climb to the modes of a flat kernel of a bandwidth; modes nearer than it are one."""
+    """Points climb to the modes of a flat kernel of a bandwidth; modes nearer than it are one."""
 
     def __init__(self, bandwidth: float = 1.0, max_iter: int = 100, **kw):
         super().__init__(**kw)
         self.bandwidth, self.max_iter = bandwidth, max_iter
 
     def _labels(self, x):
-        y = x.copy()
+        y = np.concatenate([self._climb(x[i : i + BLOCK], x) for i in range(0, len(x), BLOCK)])
+        self.modes_, _ = _lead(y, np.zeros((0, 0)), self.bandwidth, "euclidean")
+        return pairwise(y, self.modes_).argmin(axis=1)
+
+    def _climb(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         for _ in range(self.max_iter):
             inside = pairwise(y, x) <= self.bandwidth
             new = (inside @ x) / inside.sum(axis=1, keepdims=True)
             if np.abs(new - y).max() < 1e-6:
                 break
             y = new
-        self.modes_, _ = _lead(y, np.zeros((0, 0)), self.bandwidth, "euclidean")
-        return pairwise(y, self.modes_).argmin(axis=1)
+        return y
 
 
 class NearestFrames:

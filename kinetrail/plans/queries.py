@@ -455,7 +455,7 @@ def kmeans_labels(s, d):
 @query("kmedoids_labels")
 def kmedoids_labels(s, d):
     v = views.vectors(s, d)
-    return cluster.KMedoids(6, n_passes=3, max_sample=800).fit(v).predict(v).select("vec_id", "label", "distance")
+    return cluster.KMedoids(6, n_passes=3).fit(v).predict(v).select("vec_id", "label", "distance")
 
 
 @query("minibatch_kmedoids_labels")
@@ -781,10 +781,10 @@ def apm_labels(s, d):
 
 query("gmm_labels")(lambda s, d: cluster.GMM(3, 20, 1).fit(views.vectors(s, d).drop("label")).predict(views.vectors(s, d).drop("label")).select("vec_id", "label"))
 query("minibatch_kmeans_labels")(lambda s, d: cluster.MiniBatchKMeans(8).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
-query("agglomerative_labels")(lambda s, d: cluster.AgglomerativeClustering(5, max_sample=300).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
-query("spectral_labels")(lambda s, d: cluster.SpectralClustering(5, max_sample=300).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
-query("affinity_labels")(lambda s, d: cluster.AffinityPropagation(max_sample=200).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
-query("mean_shift_labels")(lambda s, d: cluster.MeanShift(1.2, max_sample=200).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("agglomerative_labels")(lambda s, d: cluster.AgglomerativeClustering(5).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("spectral_labels")(lambda s, d: cluster.SpectralClustering(5).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("affinity_labels")(lambda s, d: cluster.AffinityPropagation().fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
+query("mean_shift_labels")(lambda s, d: cluster.MeanShift(1.2).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
 query("sparse_pca_transform")(lambda s, d: _projected(s, d, decomposition.SparsePCA(1)))
 query("kernel_pca_transform")(lambda s, d: _projected(s, d, decomposition.KernelPCA(1, 50)))
 

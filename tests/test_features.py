@@ -132,6 +132,45 @@ def test_two_clouds(spark, kind):
     assert len(set(labels[:30])) == 1 and len(set(labels[30:])) == 1 and labels[0] != labels[30]
 
 
+@pytest.mark.parametrize("kind", [cluster.AgglomerativeClustering, cluster.SpectralClustering, cluster.AffinityPropagation, cluster.MeanShift, cluster.KMedoids])
+def test_clusters_are_those_of_all_rows(spark, kind):
+    # more rows than any sample used to have
+    x = np.random.default_rng(3).normal(size=(2100, 2))
+    df = frame_table(spark, [x])
+    args = {cluster.AffinityPropagation: {"max_iter": 2}, cluster.MeanShift: {"bandwidth": 1.0, "max_iter": 3}}.get(kind, {"n_clusters": 3})
+    model = kind(**args).fit(df)
+    if kind is not cluster.KMedoids:
+        assert len(model.sample_) == 2100
+        own = dict(zip(map(tuple, model.sample_), model.labels_))
+        rows = model.predict(df).collect()
+        assert all(own[tuple(r["features"])] == r["label"] for r in rows)
+        return
+    labels = distances.pairwise(x, model.cluster_centers_).argmin(axis=1)
+    for k, c in enumerate(model.cluster_centers_):
+        mine = x[labels == k]
+        assert distances.pairwise(mine, c[None]).sum() == pytest.approx(distances.pairwise(mine, mine).sum(axis=0).min())
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average", "ward"])
+def test_linkage_merges_the_nearest_each_time(method):
+    from kinetrail.functions.linalg import linkage
+
+    x = np.random.default_rng(5).integers(0, 6, size=(40, 2)).astype(float)  # with ties
+    d = distances.pairwise(x, x)
+    groups, tree = {i: [i] for i in range(40)}, linkage(d, method)
+    for step, (a, b, h, n) in enumerate(tree):
+        def gap(p, q):
+            e = d[np.ix_(p, q)]
+            if method == "ward":
+                return np.sqrt(2 * len(p) * len(q) / (len(p) + len(q)) * ((x[p].mean(0) - x[q].mean(0)) ** 2).sum())
+            return {"single": e.min, "complete": e.max, "average": e.mean}[method]()
+
+        assert h == pytest.approx(min(gap(groups[p], groups[q]) for p in groups for q in groups if p < q))
+        assert h == pytest.approx(gap(groups[int(a)], groups[int(b)]))
+        groups[40 + step] = groups.pop(int(a)) + groups.pop(int(b))
+        assert n == len(groups[40 + step])
+
+
 def test_leaders(spark):
     x = np.random.default_rng(0).uniform(size=(200, 2))
     df = frame_table(spark, [x])
