@@ -8,6 +8,7 @@ of their points take all rows to the driver, or a sample where one is asked for.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from kinetrail.functions.distances import distance, pairwise
 from kinetrail.functions.linalg import cut_tree, linkage
 from kinetrail.operators.preprocessing import literal, width_of
+from kinetrail.session import drop, materialize
 
 
 def nearest_expression(x: Column, centers: np.ndarray, metric: str = "euclidean") -> Column:
@@ -274,28 +276,60 @@ def _medoid_rounds(x: np.ndarray, medoids: np.ndarray, metric: str, rounds: int
     return float(pairwise(x, x[medoids], metric).min(axis=1).sum()), medoids
 
 
+class _Passes:
+    """All rows in batches, in another order by hash in each pass; the driver holds one partition at a time.
+
+    Equal rows are numbered, so that copies of one are spread over the batches.
+    """
+
+    def __init__(self, df: DataFrame, features: str, batch_size: int, seed: int):
+        counted = df.where(F.col(features).isNotNull()).groupBy(F.col(features).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        self.rows = materialize(counted.select("x", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")))
+        self.n, self.size, self.seed = self.rows.count(), batch_size, seed
+
+    def first(self, k: int) -> np.ndarray:
+        """Rows to begin with by hash, copies of one only where there are too few others."""
+        if self.n < k:
+            raise ValueError("fewer rows than clusters")
+        rows = self.rows.orderBy("i", F.xxhash64("x", F.lit(self.seed)), "x").limit(k)
+        return np.array([r["x"] for r in rows.collect()], float)
+
+    def batches(self, number: int) -> Iterator[np.ndarray]:
+        rows = (r["x"] for r in self._ordered(number).toLocalIterator())
+        while batch := list(islice(rows, self.size)):
+            yield np.array(batch, float)
+
+    def _ordered(self, number: int) -> DataFrame:
+        return self.rows.orderBy(F.xxhash64("x", "i", F.lit(self.seed), F.lit(number)), "x", "i").select("x")
+
+
 class MiniBatchKMedoids(Clusterer):
-    """k-medoids over random batches joined to the medoids so far, until they stay the same for some batches."""
+    """k-medoids over batches joined to the medoids so far.
+
+    ``max_iter`` counts passes over all rows. After the first, fitting ends once the medoids
+    have stayed the same for ``max_no_improvement`` batches. ``n_rows_`` are the rows that were read.
+    """
 
     def __init__(self, n_clusters: int = 8, max_iter: int = 5, batch_size: int = 100, metric: str = "euclidean", max_no_improvement: int = 10, seed: int = 0, features: str = "features"):
         self.n_clusters, self.max_iter, self.batch_size, self.metric = n_clusters, max_iter, batch_size, metric
         self.max_no_improvement, self.seed, self.features = max_no_improvement, seed, features
 
     def fit(self, df: DataFrame) -> MiniBatchKMedoids:
-        x = self._sample(df, self.batch_size * (self.max_iter + 1), self.seed)
-        rng = np.random.default_rng(self.seed)
-        x = x[rng.permutation(len(x))]
-        centers, still = x[: self.n_clusters], 0
-        for b in range(self.max_iter):
-            batch = x[self.n_clusters + b * self.batch_size : self.n_clusters + (b + 1) * self.batch_size]
-            if not len(batch):
-                break
-            pool = np.vstack([centers, batch])
-            _, m = _medoid_rounds(pool, np.arange(self.n_clusters), self.metric)
-            still = still + 1 if set(m.tolist()) == set(range(self.n_clusters)) else 0
-            centers = pool[m]
-            if still >= self.max_no_improvement:
-                break
+        passes = _Passes(df, self.features, self.batch_size, self.seed)
+        centers, still, self.n_rows_ = passes.first(self.n_clusters), 0, 0
+        for p in range(self.max_iter):
+            for batch in passes.batches(p):
+                pool = np.vstack([centers, batch])
+                _, m = _medoid_rounds(pool, np.arange(self.n_clusters), self.metric)
+                # a copy of a medoid is the same medoid
+                still = still + 1 if (pool[m] == centers).all() else 0
+                centers, self.n_rows_ = pool[m], self.n_rows_ + len(batch)
+                if self.n_rows_ >= passes.n and still >= self.max_no_improvement:
+                    break
+            else:
+                continue
+            break
+        drop(passes.rows)
         self.cluster_centers_ = centers
         return self
 
@@ -360,23 +394,38 @@ class KMeans(Clusterer):
 
 
 class MiniBatchKMeans(Clusterer):
-    """k-means over batches drawn by hash: centres move by the running mean of what they were given."""
+    """k-means over batches: centres move by the running mean of what they were given.
 
-    def __init__(self, n_clusters: int = 8, batch_size: int = 1000, max_iter: int = 20, seed: int = 0, features: str = "features"):
+    ``max_iter`` counts passes over all rows. After the first, fitting ends once the smoothed
+    inertia has not fallen for ``max_no_improvement`` batches. ``n_rows_`` are the rows that were read.
+    """
+
+    def __init__(self, n_clusters: int = 8, batch_size: int = 1000, max_iter: int = 20, seed: int = 0, features: str = "features", max_no_improvement: int = 10):
         self.n_clusters, self.batch_size, self.max_iter, self.seed, self.features = n_clusters, batch_size, max_iter, seed, features
+        self.max_no_improvement = max_no_improvement
 
     def fit(self, df: DataFrame) -> MiniBatchKMeans:
-        x = self._sample(df, self.batch_size * self.max_iter, self.seed)
-        rng = np.random.default_rng(self.seed)
-        x = x[rng.permutation(len(x))]
-        centers, n = x[: self.n_clusters].copy(), np.zeros(min(self.n_clusters, len(x)))
-        for b in range(0, len(x), self.batch_size):
-            batch = x[b : b + self.batch_size]
-            at = pairwise(batch, centers, "sqeuclidean").argmin(axis=1)
-            for k in np.unique(at):
-                part = batch[at == k]
-                n[k] += len(part)
-                centers[k] += (part.mean(axis=0) - centers[k]) * len(part) / n[k]
+        passes = _Passes(df, self.features, self.batch_size, self.seed)
+        centers, n, self.n_rows_ = passes.first(self.n_clusters), np.zeros(self.n_clusters), 0
+        weight = min(1.0, 2 * self.batch_size / (passes.n + 1))
+        smooth, least, still = None, np.inf, 0
+        for p in range(self.max_iter):
+            for batch in passes.batches(p):
+                d = pairwise(batch, centers, "sqeuclidean")
+                at, cost = d.argmin(axis=1), float(d.min(axis=1).mean())
+                for k in np.unique(at):
+                    part = batch[at == k]
+                    n[k] += len(part)
+                    centers[k] += (part.mean(axis=0) - centers[k]) * len(part) / n[k]
+                smooth = cost if smooth is None else smooth + weight * (cost - smooth)
+                least, still = (smooth, 0) if smooth < least else (least, still + 1)
+                self.n_rows_ += len(batch)
+                if self.n_rows_ >= passes.n and still >= self.max_no_improvement:
+                    break
+            else:
+                continue
+            break
+        drop(passes.rows)
         self.cluster_centers_ = centers
         return self
 

@@ -151,6 +151,30 @@ def test_clusters_are_those_of_all_rows(spark, kind):
         assert distances.pairwise(mine, c[None]).sum() == pytest.approx(distances.pairwise(mine, mine).sum(axis=0).min())
 
 
+@pytest.mark.parametrize("kind", [cluster.MiniBatchKMedoids, cluster.MiniBatchKMeans])
+def test_mini_batches_cover_all_rows(spark, kind, monkeypatch):
+    # copies of one row are most of the table
+    x = np.concatenate([np.zeros((800, 2)), np.random.default_rng(0).normal(size=(190, 2)), np.full((10, 2), 1000.0)])
+    seen, rounds = [], cluster._medoid_rounds
+    monkeypatch.setattr(cluster, "_medoid_rounds", lambda pool, m, *a: (seen.append(pool[len(m) :]), rounds(pool, m, *a))[1])
+    df = frame_table(spark, [x])
+    passes = cluster._Passes(df, "features", 30, 0)
+    for p in range(2):
+        got = [b for b in passes.batches(p)]
+        assert [len(b) for b in got] == [30] * 33 + [10]
+        assert sorted(map(tuple, np.concatenate(got))) == sorted(map(tuple, x))
+        assert max((b == 0).all(axis=1).sum() for b in got) < 30
+    one = kind(1, max_iter=1, batch_size=30).fit(df)
+    assert one.n_rows_ == 1000
+    if kind is cluster.MiniBatchKMeans:  # one centre is the mean of what it was given
+        assert np.allclose(one.cluster_centers_, x.mean(axis=0))
+    else:
+        assert sorted(map(tuple, np.concatenate(seen))) == sorted(map(tuple, x))
+    more = kind(2, max_iter=4, batch_size=30, max_no_improvement=10**9).fit(df)
+    assert more.n_rows_ == 4000
+    assert 1000 <= kind(2, max_iter=4, batch_size=30, max_no_improvement=1).fit(df).n_rows_ < 4000
+
+
 @pytest.mark.parametrize("method", ["single", "complete", "average", "ward"])
 def test_linkage_merges_the_nearest_each_time(method):
     from kinetrail.functions.linalg import linkage
