@@ -776,7 +776,7 @@ def apm_labels(s, d):
     from kinetrail.operators.apm import APM
 
     t = views.event_values(s, d)
-    return APM(2, max_iter=1, max_states=20).fit(t).predict(t.df).select("event_id", "label")
+    return APM(2).fit(t).predict(t.df).select("event_id", "label")
 
 
 query("gmm_labels")(lambda s, d: cluster.GMM(3, 20, 1).fit(views.vectors(s, d).drop("label")).predict(views.vectors(s, d).drop("label")).select("vec_id", "label"))

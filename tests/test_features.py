@@ -226,6 +226,24 @@ def test_partitioning_of_a_metastable_line(spark):
     assert max(same, 1 - same) > 0.95
 
 
+def test_partitioning_splits_until_states_relax(spark):
+    # wells of a line: frames stay where they are unless the states are far more than four a macrostate
+    x = np.repeat(np.arange(20.0), 3)[np.random.default_rng(0).permutation(60)].repeat(2)[:, None]
+    model = apm.APM(2, max_iter=3).fit(trajectories(spark, [x]))
+    assert model.rounds_[0]["states"] > 8 and len(model.rounds_) == 3
+    later = [s for s in model.rounds_[1:]]
+    assert all(r["states"] > 8 for r in later)
+    # within a macrostate of the last round, centres serve only its frames
+    one = apm.Stage(np.array([[0.0], [10.0], [1.0]]), np.array([0, 0, 1]), "euclidean")
+    assert one.near(np.array([[1.0], [1.0]]), np.array([0, 1]))[0].tolist() == [0, 2]
+    # a small cap is kept
+    assert apm.APM(2, max_iter=1, max_states=5).fit(trajectories(spark, [x])).rounds_[0]["states"] == 5
+    # frames that leave at once are not split further
+    fast = np.tile([0.0, 5.0], 40)[:, None]
+    done = apm.APM(2, max_iter=1).fit(trajectories(spark, [fast])).rounds_[0]
+    assert done["states"] == 2 and done["relaxed"]
+
+
 # --- projections ---
 
 
