@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from kinetrail.functions.linalg import generalized_eigh
 from kinetrail.plans.trajectories import Trajectories
@@ -375,9 +376,12 @@ def nystroem(df: DataFrame, n_components: int = 100, seed: int = 0, features: st
 
 
 class KernelTICA(tICA):
-    """tICA in the kernel features of landmarks; without landmarks every ``stride``-th frame is one, at most ``max_landmarks``."""
+    """tICA in the kernel features of landmarks; without landmarks every ``stride``-th frame that has a lagged partner is one, and the partner.
 
-    def __init__(self, n_components: int | None = None, lag_time: int = 1, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 1.0, stride: int = 1, landmarks: np.ndarray | None = None, max_landmarks: int = 500, **kw):
+    At most ``max_landmarks`` different frames are drawn by hash, or with None all are taken; their number squared is held on the driver.
+    """
+
+    def __init__(self, n_components: int | None = None, lag_time: int = 1, kernel: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 1.0, stride: int = 1, landmarks: np.ndarray | None = None, max_landmarks: int | None = 500, **kw):
         super().__init__(n_components, lag_time, **kw)
         self.kernel_args = {"kernel": kernel, "gamma": gamma, "degree": degree, "coef0": coef0}
         self.stride, self.landmarks, self.max_landmarks = stride, landmarks, max_landmarks
@@ -385,11 +389,24 @@ class KernelTICA(tICA):
     def fit(self, t: Trajectories):
         marks = self.landmarks
         if marks is None:
-            rows = t.frames().where(F.col("frame") % self.stride == 0).orderBy(F.xxhash64("traj_id", "frame")).limit(self.max_landmarks)
-            marks = np.array([r["features"] for r in rows.select("features").collect()], float)
+            marks = self._landmarks(t)
+        self.landmarks_ = marks
         self.nystroem_ = LandmarkNystroem(marks, features=t.features, **self.kernel_args)
         return super().fit(t.replace(self.nystroem_.transform(t.df)))
 
+    def _landmarks(self, t: Trajectories) -> np.ndarray:
+        last = F.count(F.lit(1)).over(W.partitionBy("traj_id")) - 1
+        rows = t.frames().withColumn("last", last)
+        # the k-th strided frame goes with frame lag_time + k * stride
+        begins = (F.col("frame") % self.stride == 0) & (F.col("frame") + self.lag_time <= F.col("last"))
+        ends = (F.col("frame") >= self.lag_time) & ((F.col("frame") - self.lag_time) % self.stride == 0)
+        rows = rows.where(begins | ends)
+        if self.max_landmarks is None:
+            rows = rows.orderBy("traj_id", "frame")
+        else:
+            rows = rows.orderBy(F.xxhash64("traj_id", "frame"), "traj_id", "frame").limit(self.max_landmarks)
+        return np.array([r["features"] for r in rows.select("features").collect()], float)
+
     def transform(self, df: DataFrame, out: str | None = None) -> DataFrame:
         return super().transform(self.nystroem_.transform(df, out), out)
 

@@ -616,7 +616,7 @@ query("fast_ica_transform")(lambda s, d: _projected(s, d, decomposition.FastICA(
 @query("kernel_tica_transform")
 def kernel_tica_transform(s, d):
     t = views.event_values(s, d)
-    m = decomposition.KernelTICA(2, max_landmarks=40, stride=10).fit(t)
+    m = decomposition.KernelTICA(2).fit(t)
     return m.transform(t.df).select("event_id", F.posexplode("features").alias("i", "v"))
 
 
@@ -786,7 +786,7 @@ query("spectral_labels")(lambda s, d: cluster.SpectralClustering(5).fit(views.ve
 query("affinity_labels")(lambda s, d: cluster.AffinityPropagation().fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
 query("mean_shift_labels")(lambda s, d: cluster.MeanShift(1.2).fit(views.vectors(s, d)).predict(views.vectors(s, d)).select("vec_id", "label"))
 query("sparse_pca_transform")(lambda s, d: _projected(s, d, decomposition.SparsePCA(1)))
-query("kernel_pca_transform")(lambda s, d: _projected(s, d, decomposition.KernelPCA(1, 50)))
+query("kernel_pca_transform")(lambda s, d: _projected(s, d, decomposition.KernelPCA(1)))
 
 
 @query("chunks_numbered_through", """WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem)

@@ -292,6 +292,30 @@ def test_sparse_and_kernel_tica(spark):
     assert line.eigenvalues_[0] == pytest.approx(decomposition.tICA(1, 1, shrinkage=1e-3).fit(t).eigenvalues_[0], abs=0.05)
 
 
+def test_kernel_landmarks_are_strided_frames_and_their_partners(spark):
+    a, b = np.arange(10.0)[:, None], 100 + np.arange(7.0)[:, None]
+    t = trajectories(spark, [a, b])
+    for lag, stride in ((1, 1), (2, 5), (3, 4), (8, 3)):
+        want = []
+        for x in (a, b):
+            u = np.arange(len(x))[lag::stride]
+            v = np.arange(len(x))[::stride][: len(u)]
+            want += x[np.union1d(u, v)].ravel().tolist()
+        m = decomposition.KernelTICA(1, lag, stride=stride, max_landmarks=None)
+        assert m._landmarks(t).ravel().tolist() == want
+    assert len(decomposition.KernelTICA(1, 2, stride=5, max_landmarks=3)._landmarks(t)) == 3
+
+
+def test_kernel_queries_use_the_operators_landmarks(spark, small, monkeypatch):
+    from kinetrail.plans.queries import QUERIES
+
+    used, made = [], decomposition.LandmarkNystroem.__init__
+    monkeypatch.setattr(decomposition.LandmarkNystroem, "__init__", lambda self, marks, *a, **k: (used.append(len(marks)), made(self, marks, *a, **k))[1])
+    QUERIES["kernel_tica_transform"](spark, small)
+    QUERIES["kernel_pca_transform"](spark, small)
+    assert used == [500, 200]
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4)) @ np.diag([3, 2, 1, 0.1]) + 5
