@@ -123,30 +123,48 @@ def test_a_bracket_that_never_closes_ends_with_its_block():
     assert [text[a:b] for a, b in sentences.spans(text)] == ["Open (here.", "Then more.", "Next one.", "Last."]
 
 
+def in_pieces(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """The sentences of a text read in pieces, each by the state that the functions before it give."""
+    cuts = sorted({0, *(sentences.settle(text, p) for p in places), len(text)})
+    ranges = list(zip(cuts, cuts[1:]))
+    beyond, ahead = [], ""
+    for a, b in reversed(ranges):
+        beyond.append(ahead)
+        marks, blank = sentences.closed_ahead(text, a, b)
+        ahead = marks + ("" if blank else ahead)
+    beyond.reverse()
+    state, so_far, found = sentences.START, None, [0]
+    for (a, b), ahead in zip(ranges, beyond):
+        found += sentences.read(text, state, a, b, ahead)[0]
+        f = sentences.PieceFunction.read(sentences.transition(text, a, b, ahead).write())
+        so_far = f if so_far is None else so_far.then(f)
+        state = f(state)
+        assert so_far(sentences.START) == state == sentences.read(text, sentences.START, 0, b, ahead)[1]
+    return sentences.trimmed_spans(text, sorted({*found, len(text)}))
+
+
+#: Pieces of texts that open marks after a colon, a comma and within one another.
+BITS = [
+    'He said: "', 'she asked, "', "(as we ", 'it (he said, "go. Now") went', ". ", "? ", "! ", "... ", "… ", '"', ")", "' ", "x.' ", "\n", "\n\n", "   ", "\t", "- item ", "\n- item one. ", "\n# Head\n",
+    "Dr. Smith ", "e.g. this ", "5.3 nm ", "word ", "Next ", "« non. »", "「好。」", "สวัสดี ครับ ", "“It is. late”", "„so.“", "[2024-01-02 10:11:12] log. line\n", "z. B. ", "am 3. Mai ", 'mid, "(a: "b. C" d)" E. ', "।",
+]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(CASES), min_size=1, max_size=6), st.integers(20, 120))
-def test_pieces_give_what_the_whole_gives(cases, size):
-    text = "\n\n".join(c.replace("|", "") for c in cases)
-    state, cuts = sentences.START, []
-    for low in range(0, len(text), size):
-        found, state = sentences.read(text, state, low, min(low + size, len(text)))
-        cuts += [c for c, _ in found]
-    assert sentences.trimmed_spans(text, sorted({0, *cuts, len(text)})) == sentences.spans(text)
-
-
-def test_functions_of_pieces_compose():
-    text = "\n\n".join(c.replace("|", "") for c in CASES[:6])
-    size = 97
-    edges = [(a, min(a + size, len(text))) for a in range(0, len(text), size)]
-    functions = [dict(sentences.transition(text, a, b)) for a, b in edges]
-    state, states = sentences.START, []
-    for a, b in edges:
-        state = sentences.read(text, state, a, b)[1]
-        states.append(state)
-    assert [f[sentences.START] for f in sentences.prefix_scan(functions)] == states
+@given(st.lists(st.sampled_from(BITS), min_size=1, max_size=40), st.integers(20, 90))
+def test_any_chunk_gives_what_the_whole_gives(bits, chunk):
+    text = "".join(bits)
+    assert in_pieces(text, list(range(chunk, len(text), chunk))) == sentences.spans(text)
+
+
+def test_partners_far_away():
+    far = "(" + "Much goes on here. " * 500 + "and ends)."
+    assert len(sentences.spans(far + " Next one.")) == 2 and len(sentences.spans(far.replace(")", "") + " Next one.")) == 502
+    assert in_pieces(far + " Next one.", list(range(700, len(far), 700))) == sentences.spans(far + " Next one.")
 
 
 NESTED = [
+    'He came (as she said: "It is late. We go home now. Really, I say." and then left). It was late. ' * 3,
     'They wrote (he said, "We ran it. It failed." Then left.) and went. More follows. End.',
     "Log: “Start (see «the ‹old› note. Really?» here. So.) and stop.” Then more. End.",
     "A (b [c {d} “e. F.” g.] h. I) j. Next, “(one [two] three.)” Last.",
@@ -154,25 +172,19 @@ NESTED = [
 
 
 @pytest.mark.parametrize("text", NESTED)
-def test_functions_of_pieces_compose_at_every_offset(text):
-    for a in range(1, len(text)):
-        for size in (1, 2, 7, len(text)):
-            edges = [(0, a), *((low, min(low + size, len(text))) for low in range(a, len(text), size))]
-            functions = [dict(sentences.transition(text, *e)) for e in edges[:4]]
-            state, states, cuts = sentences.START, [], []
-            for e in edges:
-                found, state = sentences.read(text, state, *e)
-                states.append(state)
-                cuts += [c for c, _ in found]
-            assert [f[sentences.START] for f in sentences.prefix_scan(functions)] == states[:4]
-            assert sentences.trimmed_spans(text, sorted({0, *cuts, len(text)})) == sentences.spans(text)
-
-
-@pytest.mark.parametrize("chunk", [5, 11])
-def test_nested_quotations_in_pieces_in_spark(spark, chunk):
+def test_pieces_at_every_offset(text):
+    for a in range(1, len(text), 5):
+        for size in (23, len(text)):
+            assert in_pieces(text, list(range(a, len(text), size))) == sentences.spans(text)
+
+
+@pytest.mark.parametrize("chunk", [20, 60])
+def test_nested_quotations_in_pieces_in_spark(spark, chunk, monkeypatch):
     df = spark.createDataFrame(list(enumerate(NESTED)), "doc_id bigint, text string")
-    whole = {(i, *s) for i, text in enumerate(NESTED) for s in sentences.spans(text)}
-    assert {tuple(r) for r in sentences.sentences(df, "doc_id", "text", chunk=chunk).collect()} == whole
+    whole = sorted((i, *s) for i, text in enumerate(NESTED) for s in sentences.spans(text))
+    monkeypatch.setattr(sentences, "FAN", 3)
+    got = sentences.sentences(df.unionByName(df).withColumn("low", sentences.F.lit(1)), "doc_id", "text", chunk=chunk)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(whole * 2)
 
 
 def test_long_texts_in_spark(spark):
