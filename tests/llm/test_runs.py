@@ -1,6 +1,7 @@
 """Runs: hand-made labels, equality with brute force, and pieces that cross stretches."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +57,53 @@ def test_states_with_corrections_gaps_and_missing(spark):
     assert got == {(1, 5, 0, 3, 4, 10.0), (1, 5, 5, 6, 2, 5.0), (1, 5, 8, 8, 1, 2.5), (2, 1, 0, 0, 1, None), (2, 2, 1, 2, 2, None)}
 
 
+def test_states_come_through_the_segmentation(spark, monkeypatch):
+    """Neighbouring states are told apart by cost alone, noise within 0.001 is not, and a stub shows."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(3, 6, 40), rng.integers(1, 6, 40))
+    rows = [(1, i, f"{v + e:.4f}", 0) for i, (v, e) in enumerate(zip(x, rng.uniform(-0.0009, 0.0009, len(x))))] + [(2, 0, "2", 0), (2, 1, "2.5", 0), (2, 2, "2", 0)]
+    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+    want = {(1, int(x[a]), a, b - 1) for a, b in zip(cuts, cuts[1:])} | {(2, 2, 0, 0), (2, 2, 2, 2)}
+    found = lambda: {tuple(r)[:4] for r in runs.state_runs(frames(spark, rows), steps(spark)).collect()}
+    assert found() == want
+    t = pa.table({"__e": [1] * 4, "chunk": [0] * 4, "first": [1, 2, 3, 4], "value": [3.0, 3.0, 4.0, 4.0]})
+    real = runs._chunk_runs(t, 2e5, 0.001, 1.27, 100).num_rows
+    monkeypatch.setattr(runs, "optimal_segments", lambda n, s, q, p: [(0, len(n))])
+    assert real == 2 and runs._chunk_runs(t, 2e5, 0.001, 1.27, 100).num_rows == 1
+
+
+def test_near_identical_events(spark):
+    """A slow drift is one run by cost, though no two values are equal; a real step is a boundary."""
+    x = np.concatenate([1 + 0.01 * np.sin(np.arange(50)), 1.3 + 0.01 * np.cos(np.arange(30)), [1.31, 1.0], 1 + 0.01 * np.sin(np.arange(9))])
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "e string, p bigint, v double")
+    got = sorted((r["first"], r["last"], r["n"]) for r in runs.collapse_runs(df, "e", "p", "v", penalty=0.1).collect())
+    assert got == [(0, 49, 50), (50, 80, 31), (81, 90, 10)]
+
+
+def test_certain_boundaries_hold_in_any_surroundings():
+    rng = np.random.default_rng(5)
+    some = 0
+    for _ in range(150):
+        x = np.repeat(rng.choice([0.0, 0.7, 1.0, 2.0], 8), rng.integers(1, 5, 8))
+        p = float(rng.choice([0.05, 0.2, 0.5]))
+        sure = runs.certain_boundaries(np.ones(len(x)), x, x * x, p)
+        some += len(sure)
+        for _ in range(5):
+            a, b = rng.choice([0.0, 0.7, 1.0, 2.0], int(rng.integers(0, 6))), rng.choice([0.0, 0.7, 1.0, 2.0], int(rng.integers(0, 6)))
+            y = np.concatenate([a, x, b])
+            starts = {c - len(a) for c, _ in runs.optimal_segments(np.ones(len(y)), y, y * y, p)}
+            assert set(sure) <= starts
+    assert some > 200
+
+
 def test_nothing(spark):
     assert runs.state_runs(frames(spark, []), steps(spark)).count() == 0
     assert runs.state_runs(frames(spark, [(1, 0, None, 0), (1, 1, "", 0)]), steps(spark)).count() == 0
 
 
-def test_stretches_are_joined(spark):
+@pytest.mark.parametrize("wider", [2, 512])
+def test_stretches_are_joined(spark, monkeypatch, wider):
+    monkeypatch.setattr(runs, "WIDER", wider)
     rng = np.random.default_rng(1)
     x = np.repeat(rng.choice([1.0, 1.05, 1.1, 4.0], 60), rng.integers(1, 9, 60))
     at = np.delete(np.arange(len(x)), [20, 21, 90])
