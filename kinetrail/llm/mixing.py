@@ -4,8 +4,8 @@ A source gets its weight of the total size. Its documents are expected to stand
 in the mix ``e`` times each; the whole part of ``e`` is certain, the rest is drawn:
 documents are ranked by the odds of a random number over the odds of their
 inclusion, and the first ones are taken until the tokens of the source are
-reached. Reposted texts share their chance, so a text is not preferred for being
-posted often.
+reached. With ``share_reposts`` reposted texts share their chance, so a text is not
+preferred for being posted often.
 """
 
 from __future__ import annotations
@@ -30,11 +30,16 @@ def source_key(c: Column) -> Column:
     return F.when(x != "", x)
 
 
-def sized_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Documents of the sources in ``targets``: ``doc_id``, ``source`` as there, ``n_tokens`` and ``level``, the binary logarithm of how often the text stands there."""
+def sized_documents(documents: DataFrame, targets: DataFrame, share_reposts: bool = False) -> DataFrame:
+    """Documents of the sources in ``targets``: ``doc_id``, ``source`` as there, ``n_tokens`` and ``level``.
+
+    ``level`` is 0, or with ``share_reposts`` the binary logarithm of how often the text stands there.
+    """
     wanted = targets.select(source_key(F.col("source")).alias("k"), F.col("source").alias("__source")).where(F.col("k").isNotNull())
-    docs = documents.select("doc_id", "text", source_key(F.col("source")).alias("k")).join(wanted, "k")
+    docs = documents.select("doc_id", "text", source_key(F.col("source")).alias("k")).join(F.broadcast(wanted), "k")  # a row a source
     docs = docs.select("doc_id", F.col("__source").alias("source"), "text", F.xxhash64("text").alias("h"))
+    if not share_reposts:
+        return count_column(docs, "text", ["doc_id", "source"]).select("doc_id", "source", "n_tokens", F.lit(0).alias("level"))
     sized = materialize(count_column(docs, "text", ["doc_id", "source", "h"]))
     copies = sized.groupBy("source", "h").agg(F.count(F.lit(1)).alias("c"))
     level = F.least(F.floor(F.log2("c")), F.lit(LEVELS - 1)).cast("int")
@@ -61,25 +66,30 @@ def expected_copies(tokens: dict[int, float], target: float, most: float) -> dic
 class Mix:
     """The mix of one corpus: what each source has, gets, and which documents stand in it.
 
+    ``total`` is the size that the weights are shares of, the tokens of all documents by
+    default; up to ``largest_total`` every source with tokens reaches its weight.
+
     The sources in ``targets`` are a small given list; sizes by source and level go to
     the driver. Documents without tokens and of other sources are not drawn, and
     neither are those of a source with a NULL, zero or negative weight or cap.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, seed: int = 0):
+    def __init__(self, documents: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None, share_reposts: bool = False):
         self.spark, self.seed = documents.sparkSession, seed
-        self.docs = materialize(sized_documents(documents, targets))
+        self.docs = materialize(sized_documents(documents, targets, share_reposts))
         self.targets = {r["source"]: (r["weight"] or 0.0, r["max_repeats"] or 0) for r in targets.select("source", "weight", "max_repeats").collect() if r["source"]}
         self.tokens: dict[str, dict[int, float]] = {s: {} for s in self.targets}
         for r in self.docs.groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).collect():
             self.tokens[r["source"]][r["level"]] = float(r["n"])
-        self.total = sum(sum(x.values()) for x in self.tokens.values())
+        self.total = sum(sum(x.values()) for x in self.tokens.values()) if total is None else total
+        #: The largest total size at which every source that has any tokens reaches its weight.
+        self.largest_total = min((sum(self.tokens[s].values()) * max(m, 0) / w for s, (w, m) in self.targets.items() if w > 0 and self.tokens[s]), default=0.0)
         self.expected = {s: expected_copies(self.tokens[s], max(w, 0.0) * self.total, float(max(m, 0))) for s, (w, m) in self.targets.items()}
 
     def short(self) -> DataFrame:
-        """Each source whose tokens times its cap are fewer than its weight of the total."""
-        rows = [(s,) for s, (w, m) in self.targets.items() if sum(self.tokens[s].values()) * m < w * self.total]
-        return self.spark.createDataFrame(rows, "source string")
+        """Each source that cannot reach its weight: in the mix all of its tokens stand ``max_repeats`` times, and are fewer than its weight asks."""
+        full = F.col("mix_tokens") >= F.col("tokens") * F.greatest("max_repeats", F.lit(0))
+        return self.shares().where(full & (F.col("mix_tokens") < F.col("target_tokens"))).select("source")
 
     def copies(self) -> DataFrame:
         """``doc_id``, ``source``, ``n_tokens`` and ``copies``, how often the document stands in the mix, once or more."""
@@ -123,4 +133,4 @@ class Mix:
         wanted = self.spark.createDataFrame(rows, "source string, weight double, max_repeats int, tokens bigint, target_tokens double")
         out = wanted.join(got, "source", "left").na.fill(0, ["mix_tokens", "n_docs"])
         whole = F.sum("mix_tokens").over(W.partitionBy())  # a row a source
-        return out.withColumn("share", F.col("mix_tokens") / whole)
+        return out.withColumn("share", F.col("mix_tokens") / whole).withColumn("largest_total", F.lit(float(self.largest_total)))
