@@ -38,11 +38,11 @@ def _frames(s, d):
 
 
 def p4_splits(s, d):
-    return splits.frame_splits(*_frames(s, d))
+    return splits.frame_splits(*_frames(s, d)).select("vec_id", "split")
 
 
 def p4_found(s, d):
-    return splits.frame_groups(*_frames(s, d))
+    return splits.frame_groups(splits.frame_splits(*_frames(s, d)))
 
 
 def _groups(s, d):
