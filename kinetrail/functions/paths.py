@@ -10,27 +10,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that pads names, Unicode spaces included.
-PADDING = r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+"
+PADDING = " \t\n\r\x0b\x0c\x85  " + "".join(map(chr, range(0x2000, 0x200C))) + "    　﻿"
 
 
 def trimmed(c: Column) -> Column:
     """``c`` without outer white space of any kind."""
-    return F.regexp_replace(c, f"^{PADDING}|{PADDING}$", "")
+    return F.btrim(c, F.lit(PADDING))
 
 
 def flat_path(c: Column) -> Column:
     """Lower case, forward slashes, no doubled, dotted or padded parts; NULL for empty names."""
     x = F.translate(F.lower(trimmed(c)), "\\", "/")
     x = F.regexp_replace(x, r"/(?:\./|/)+", "/")
-    x = F.regexp_replace(x, r"^\./", "")
-    return F.when(x != "", x)
+    # each expression stands once, as patterns are the cost here
+    return F.nullif(F.regexp_replace(x, r"^\./", ""), F.lit(""))
 
 
 def project_path(c: Column) -> Column:
     """The part of a trajectory or chunk path from its project directory on; other paths in full."""
-    x = flat_path(c)
-    part = F.regexp_extract(x, r"(?:^|/)(proj\d+/.*)$", 1)
-    return F.when(part != "", part).otherwise(x)
+    return F.regexp_replace(flat_path(c), r"^(?!proj\d+/).*?/(?=proj\d+/)", "")
 
 
 def topology_path(c: Column) -> Column:
@@ -40,5 +38,4 @@ def topology_path(c: Column) -> Column:
 
 def base_name(c: Column) -> Column:
     """The file name without directory, case and padding; NULL for empty names."""
-    x = F.regexp_extract(flat_path(c), r"[^/]+$", 0)
-    return F.when(x != "", x)
+    return F.nullif(F.regexp_extract(flat_path(c), r"[^/]+$", 0), F.lit(""))

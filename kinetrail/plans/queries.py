@@ -13,7 +13,7 @@ from kinetrail.functions.distances import METRICS
 from kinetrail.operators import bayes, cluster, counting, decomposition, featurizers, fragment, hmm, lumping, msm, ratematrix, sampling, tpt
 from kinetrail.operators import preprocessing as prep
 from kinetrail.plans import views
-from kinetrail.session import table
+from kinetrail.session import scratch_path, table
 from kinetrail.sources import archive, examples, store
 
 QUERIES: dict = {}
@@ -87,13 +87,15 @@ def _chunks(s, d):
 
 @query("p5_found", _CHUNKS + "SELECT DISTINCT chunk_id, frame FROM surplus")
 def p5_found(s, d):
-    files, trajectories = _chunks(s, d)
-    return archive.surplus_records(archive.chunk_table(files), archive.chunk_owners(trajectories)).select("chunk_id", "frame").distinct()
+    return archive.packed_surplus(*_chunks(s, d))
 
 
-@query("p5_index")
+@query("p5_index", _CHUNKS + """, kept AS (
+  SELECT chunk_id, count(*) AS n, count(*) FILTER (WHERE frame IS NULL OR potential IS NULL) AS missing FROM records ANTI JOIN surplus USING (chunk_id, pos) GROUP BY 1)
+SELECT f.chunk_id, nullif(f.path, '') AS path, CAST(1 + 16 * coalesce(k.n, 0) + CASE WHEN k.missing > 0 THEN ceil(k.n / 4) ELSE 0 END AS BIGINT) AS length, CAST(coalesce(s.n, 0) AS INTEGER) AS n_surplus
+FROM files f LEFT JOIN kept k USING (chunk_id) LEFT JOIN (SELECT chunk_id, count(*) AS n FROM surplus GROUP BY 1) s USING (chunk_id)""")
 def p5_index(s, d):
-    return archive.packed_index(*_chunks(s, d))
+    return archive.packed_index(*_chunks(s, d)).select("chunk_id", "path", "length", "n_surplus")
 
 
 @query("p5_records", _CHUNKS + "SELECT chunk_id, frame, potential FROM records ANTI JOIN surplus USING (chunk_id, pos)")
@@ -652,12 +654,8 @@ def gather_metadata_regex(s, d):
 
 @query("dataset_roundtrip", "SELECT user_id AS traj_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame, event_type AS state FROM events")
 def dataset_roundtrip(s, d):
-    import uuid
-
-    from kinetrail.session import scratch_dir
-
     frames = views.events(s, d).frames()
-    return store.Dataset.create(frames, f"{scratch_dir(s)}/dataset-{uuid.uuid4().hex}", command="query").frames()
+    return store.Dataset.create(frames, scratch_path(s, "dataset"), command="query").frames()
 
 
 @query("feature_union", f"""WITH x AS (SELECT user_id, ts, event_id, value, ln(1 + greatest(value, 0)) AS l FROM events),
@@ -737,12 +735,9 @@ def windowed_states(s, d):
 @query("stream_transitions", _PAIRS.format(lag=1) + "SELECT src, dst, n FROM c")
 def stream_transitions(s, d):
     """The events as a stream that is read to its end: the counts are those of the table."""
-    import uuid
-
-    from kinetrail.session import scratch_dir
     from kinetrail.streaming.counts import transition_stream
 
-    at = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
+    at = scratch_path(s, "stream")
     source = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     # equal times do not occur within a user
     q = transition_stream(source, "user_id", "ts", "event_type").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
@@ -811,12 +806,8 @@ def double_well_frames(s, d):
 @query("stored_numpy_arrays", "SELECT n_regionkey AS traj_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS frame, CAST(n_nationkey AS DOUBLE) AS v FROM nation")
 def stored_numpy_arrays(s, d):
     """Frames written as one array a trajectory to the shared folder and read back."""
-    import uuid
-
-    from kinetrail.session import scratch_dir
-
     t = views.Trajectories(table(s, d, "nation").withColumn("features", F.array(F.col("n_nationkey").cast("double"))), "n_regionkey", ("n_nationkey",), None, "features")
-    at = f"{scratch_dir(s).replace('file:///', '/').replace('file:/', '/')}/arrays-{uuid.uuid4().hex}"
+    at = scratch_path(s, "arrays").replace("file:///", "/").replace("file:/", "/")
     store.write_npy(t.frames(), at)
     back = store.read_npy(s, f"file://{at}")
     key = F.regexp_extract("path", r"(\d{8})\.npy$", 1).cast("int")

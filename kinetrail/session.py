@@ -51,6 +51,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted when this driver ends."""
+    path = f"{scratch_dir(spark)}/kinetrail-{name}-{os.getpid()}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -58,9 +65,8 @@ def materialize(df: DataFrame) -> DataFrame:
     it is read, and is columnar, so that later scans prune.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/kinetrail-{os.getpid()}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
-    _written.append((spark, path))
     # the schema is given: an empty directory could not tell it
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,9 +1,10 @@
 """Archive containers: many small files packed into few large blocks with an index.
 
 A block holds the bytes of many files behind one another, and with them the
-directory of its files: path, offset, length and checksum. Blocks are rows of a
-Parquet table, some to a file, so that reading is parallel by block, the index is
-read without the bytes, and one file is found through the index alone.
+directory of its files: path, offset, length and checksum, and what was left out of a
+file because it stands in another one. Blocks are rows of a Parquet table, some to a
+file, so that reading is parallel by block, the index is read without the bytes, and
+one file is found through the index: only the blocks that hold wanted files are read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from kinetrail.functions.paths import base_name, project_path
-from kinetrail.session import materialize, scratch_dir
+from kinetrail.session import drop, materialize, scratch_path
 
 ENTRY = T.StructType(
     [
@@ -29,6 +30,7 @@ ENTRY = T.StructType(
         T.StructField("offset", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("crc32", T.LongType()),
+        T.StructField("surplus", T.ArrayType(T.LongType())),
     ]
 )
 BLOCK = T.StructType(
@@ -41,16 +43,23 @@ BLOCK = T.StructType(
 )
 
 
-def pack_blocks(files: DataFrame, key: str, path: str, content: str, order: list[str], block_bytes: int = 8 << 20, file_bytes: int = 128 << 20) -> DataFrame:
+#: Blocks that a lookup reads by a broadcast list; for more the list is joined.
+LOOKUP = 10_000
+
+
+def pack_blocks(
+    files: DataFrame, key: str, path: str, content: str, order: list[str], block_bytes: int = 8 << 20, file_bytes: int = 128 << 20, surplus: str | None = None
+) -> DataFrame:
     """Blocks of the bytes in ``content``, in ``order``, each file whole in one block.
 
     A NULL content is stored as no bytes, an empty table gives no blocks, and a file
-    larger than ``block_bytes`` gets a block of its own. Ranges of ``order`` go to tasks by
+    larger than ``block_bytes`` gets a block of its own. ``surplus`` names a column of
+    numbers that goes into the directory. Ranges of ``order`` go to tasks by
     size, about ``file_bytes`` each; a task holds one block at a time.
     """
     total = files.agg(F.coalesce(F.sum(F.coalesce(F.length(content), F.lit(0)) + 64), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(total / file_bytes))
-    rows = files.select(*order, F.col(key).alias("__key"), F.col(path).alias("__path"), F.col(content).alias("__content"))
+    rows = files.select(*order, F.col(key).alias("__key"), F.col(path).alias("__path"), F.col(content).alias("__content"), (F.col(surplus) if surplus else F.lit(None)).cast("array<bigint>").alias("__surplus"))
     rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     width = len(order)
 
@@ -69,11 +78,11 @@ def pack_blocks(files: DataFrame, key: str, path: str, content: str, order: list
             return pa.RecordBatch.from_pylist([block], to_arrow(BLOCK))
 
         for batch in batches:
-            for i, p, c in zip(*(batch.column(width + j).to_pylist() for j in range(3))):
+            for i, p, c, left in zip(*(batch.column(width + j).to_pylist() for j in range(4))):
                 c = c or b""
                 if entries and size + len(c) > block_bytes:
                     yield flush()
-                entries.append({"key": i, "path": p, "offset": size, "length": len(c), "crc32": zlib.crc32(c)})
+                entries.append({"key": i, "path": p, "offset": size, "length": len(c), "crc32": zlib.crc32(c), "surplus": left or []})
                 parts.append(c)
                 size += len(c)
         if entries:
@@ -104,11 +113,15 @@ def archive_files(spark: SparkSession, path: str, keys: DataFrame | None = None,
     A file whose bytes do not have their checksum fails the job.
     """
     blocks = spark.read.schema(BLOCK).parquet(path)
-    found = blocks.select("block", "payload", F.explode("entries").alias("e")) if keys is None else None
-    if keys is not None:
+    if keys is None:
+        found = blocks.select("block", "payload", F.explode("entries").alias("e"))
+    else:
         wanted = archive_index(spark, path).join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
         entry = F.struct(*(F.col(f.name) for f in ENTRY))
-        wanted = wanted.groupBy("block").agg(F.collect_list(entry).alias("wanted"))
+        wanted = materialize(wanted.groupBy("block").agg(F.collect_list(entry).alias("wanted")))  # the files of a block are bounded by its size
+        names = [r["block"] for r in wanted.select("block").limit(LOOKUP + 1).collect()]
+        if len(names) <= LOOKUP:  # the list reaches the scan, which skips row groups; payload is not shuffled
+            blocks, wanted = blocks.where(F.col("block").isin(names)), F.broadcast(wanted)
         found = blocks.select("block", "payload").join(wanted, "block").select("block", "payload", F.explode("wanted").alias("e"))
     content = F.expr("substring(payload, CAST(e.offset + 1 AS INT), CAST(e.length AS INT))")
     checked = F.when(F.crc32(F.col("content")) == F.col("e.crc32"), F.col("content")).otherwise(
@@ -144,12 +157,8 @@ def chunk_table(files: DataFrame) -> DataFrame:
 
 def chunk_owners(trajectories: DataFrame) -> DataFrame:
     """``path`` of each listed chunk and the ``trajectory`` that lists it, each pair once."""
-    return (
-        trajectories.select(base_name(F.col("filename")).alias("trajectory"), F.explode("chunks").alias("c"))
-        .select("trajectory", project_path(F.col("c")).alias("path"))
-        .where(F.col("trajectory").isNotNull() & F.col("path").isNotNull())
-        .distinct()
-    )
+    pairs = trajectories.select(base_name(F.col("filename")).alias("trajectory"), F.explode("chunks").alias("c")).select("trajectory", project_path(F.col("c")).alias("path"))
+    return pairs.distinct().where(F.col("trajectory").isNotNull() & F.col("path").isNotNull())
 
 
 def surplus_records(chunks: DataFrame, owners: DataFrame) -> DataFrame:
@@ -169,21 +178,28 @@ def surplus_records(chunks: DataFrame, owners: DataFrame) -> DataFrame:
 RECORDS = T.StructType([T.StructField("frame", T.LongType()), T.StructField("potential", T.DoubleType())])
 
 
-def encode_records(df: DataFrame, keep: list[str]) -> DataFrame:
+def encode_records(df: DataFrame, keep: list[str], without: str | None = None) -> DataFrame:
     """Columns ``keep`` and the bytes of ``frames`` and ``potential`` as ``content``: all frames, then all potentials, 8 bytes each, little-endian.
 
-    A missing number in either array is stored by a bit map in front.
+    Records at the positions in the column ``without`` are left out. A missing number in
+    either array is stored by a bit map in front.
     """
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("content", T.BinaryType())])
+    left = F.col(without) if without else F.lit(None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for f, p in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
-                out.append(_bytes(f.values, p.values))
+            for f, p, gone in zip(*(batch.column(len(keep) + i) for i in range(3))):
+                f, p = f.values, p.values
+                if gone.is_valid and len(gone.values):
+                    stays = np.ones(len(f), bool)
+                    stays[gone.values.to_numpy()] = False
+                    f, p = f.filter(pa.array(stays)), p.filter(pa.array(stays))
+                out.append(_bytes(f, p))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())], schema.names)
 
-    return df.select(*keep, "frames", "potential").mapInArrow(run, schema)
+    return df.select(*keep, "frames", "potential", left.cast("array<int>")).mapInArrow(run, schema)
 
 
 def _bytes(frames: pa.Array, potential: pa.Array) -> bytes:
@@ -224,32 +240,40 @@ def pack_chunks(files: DataFrame, trajectories: DataFrame, block_bytes: int = 8
 
     Chunks of a trajectory lie together, in the order of their ids; unlisted chunks come
     first and are kept whole, as are chunk files without records. Surplus records are
-    left out. Keys of the archive are chunk ids.
+    left out and named in the directory, so that with those that stay every record is
+    told. Keys of the archive are chunk ids. Without ``path`` the archive is scratch and
+    goes when the driver ends.
     """
     spark = files.sparkSession
     chunks = materialize(chunk_table(files))
     owners = chunk_owners(trajectories)
-    surplus = surplus_records(chunks, owners).groupBy("chunk_id").agg(F.collect_set("pos").alias("gone"))
+    surplus = surplus_records(chunks, owners).groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "frame")).alias("gone"))
     first = owners.groupBy("path").agg(F.min("trajectory").alias("trajectory"))
-    kept = lambda c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.filter(c, lambda _, i: ~F.array_contains("gone", i)))
-    rows = (
-        chunks.join(surplus, "chunk_id", "left")
-        .join(first, "path", "left")
-        .select("trajectory", "chunk_id", "path", kept("frames").alias("frames"), kept("potential").alias("potential"))
-    )
-    content = materialize(encode_records(rows, ["trajectory", "chunk_id", "path"]))
-    blocks = pack_blocks(content, "chunk_id", "path", "content", ["trajectory", "chunk_id"], block_bytes)
-    if path is None:
-        import uuid
-
-        path = f"{scratch_dir(spark)}/archive-{uuid.uuid4().hex}"
+    rows = chunks.join(surplus, "chunk_id", "left").join(first, "path", "left")
+    rows = rows.select("trajectory", "chunk_id", "path", "frames", "potential", F.col("gone.pos").alias("gone"), F.array_sort("gone.frame").alias("surplus"))
+    content = materialize(encode_records(rows, ["trajectory", "chunk_id", "path", "surplus"], "gone"))
+    blocks = pack_blocks(content, "chunk_id", "path", "content", ["trajectory", "chunk_id"], block_bytes, surplus="surplus")
+    path = path or scratch_path(spark, "archive")
     write_archive(blocks, path)
+    drop(content)
+    drop(chunks)
     return path
 
 
+def surplus_of(index: DataFrame) -> DataFrame:
+    """``chunk_id`` and ``frame`` of the records that an archive left out, as its directories tell."""
+    return index.select(F.col("key").alias("chunk_id"), F.explode("surplus").alias("frame")).distinct()
+
+
 def packed_index(files: DataFrame, trajectories: DataFrame) -> DataFrame:
     """The index of the archive of all chunk files."""
-    return archive_index(files.sparkSession, pack_chunks(files, trajectories)).withColumnRenamed("key", "chunk_id")
+    index = archive_index(files.sparkSession, pack_chunks(files, trajectories))
+    return index.select("block", F.col("key").alias("chunk_id"), "path", "offset", "length", "crc32", F.size("surplus").alias("n_surplus"))
+
+
+def packed_surplus(files: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """``chunk_id`` and ``frame`` of what the archive of all chunk files left out."""
+    return surplus_of(archive_index(files.sparkSession, pack_chunks(files, trajectories)))
 
 
 def packed_records(files: DataFrame, trajectories: DataFrame) -> DataFrame:

@@ -186,6 +186,14 @@ def test_surplus_and_round_trip(spark):
     assert sorted(str(tuple(r)) for r in records) == sorted(map(str, [(1, 0, 0.5), (1, 1, 1.5), (1, 2, 2.5), (2, 3, 3.5), (3, 3, 9.5), (4, 0, 0.5), (4, 1, 1.5), (7, 0, None), (7, None, 1.0)]))
     one = archive.archive_files(spark, place, spark.createDataFrame([(3,)], "key bigint")).collect()
     assert len(one) == 1 and one[0]["path"] == "proj1/a2.xtc"
+    wanted = archive.archive_files(spark, place, spark.createDataFrame([(3,)], "key bigint"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(block), " in wanted and "block" in wanted.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert {(r["chunk_id"], r["frame"]) for r in archive.surplus_of(archive.archive_index(spark, place)).collect()} == {(2, 2)}
+
+
+def test_surplus_comes_through_the_archive(spark, monkeypatch):
+    monkeypatch.setattr(archive, "pack_blocks", lambda *a, **k: spark.createDataFrame([], archive.BLOCK))
+    assert archive.packed_surplus(*tables(spark)).count() == 0
 
 
 def test_damage_is_noticed(spark):
