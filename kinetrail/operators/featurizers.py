@@ -365,9 +365,9 @@ class LogisticContactFeaturizer(ContactFeaturizer):
 
 
 class GaussianSolventFeaturizer(Featurizer):
-    """For each solute atom the sum over solvent atoms of exp(-d / 2 sigma^2); ``squared`` takes the square of d."""
+    """For each solute atom the sum over solvent atoms of exp(-d^2 / 2 sigma^2); without ``squared`` d is not squared."""
 
-    def __init__(self, solute_indices, solvent_indices, sigma: float, box=None, squared: bool = False):
+    def __init__(self, solute_indices, solvent_indices, sigma: float, box=None, squared: bool = True):
         self.solute, self.solvent = np.asarray(solute_indices, int), np.asarray(solvent_indices, int)
         self.sigma, self.box, self.squared = sigma, box, squared
 

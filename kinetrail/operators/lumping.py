@@ -65,13 +65,15 @@ class PCCA(Lumping):
         self.pcca_tolerance = pcca_tolerance
 
     def _lump(self) -> np.ndarray:
-        right = self._slow()
-        macro = np.zeros(self.n_states_, int)
-        for i in range(self.n_macrostates - 1):
-            v = right[:, i + 1]
-            spread = [np.ptp(v[macro == k]) for k in range(i + 1)]
-            widest = int(np.argmax(spread))
-            macro[(macro == widest) & (v >= self.pcca_tolerance)] = i + 1
+        blocks = [np.arange(self.n_states_)]
+        for mode in self._slow().T[1 : self.n_macrostates]:
+            at = max(range(len(blocks)), key=lambda k: np.ptp(mode[blocks[k]]) if len(blocks[k]) else -1.0)
+            above = mode[blocks[at]] >= self.pcca_tolerance
+            blocks[at : at + 1], risen = [blocks[at][~above]], blocks[at][above]
+            blocks.append(risen)
+        macro = np.empty(self.n_states_, int)
+        for k, block in enumerate(blocks):
+            macro[block] = k
         return macro
 
 
@@ -170,15 +172,17 @@ class BACE(Lumping):
 
     def _lump(self) -> np.ndarray:
         n = self.n_states_
-        c = self.countsmat_ + 1.0 / n  # a pseudo-count a row
+        # evidence and filter ask for numbers of transitions, which sliding windows divide by the lag
+        counts = self.countsmat_ * (self.lag_time if self.sliding_window else 1)
+        c = counts + 1.0 / n  # a pseudo-count a row
         macro = [{i} for i in range(n)]
         alive = list(range(n))
         self.map_dict, self.bayesFactors = {}, {}
         rows = {i: c[i].copy() for i in alive}
-        for i in [i for i in range(n) if self.countsmat_[i].sum() < self.filter and n > self.n_macrostates]:
+        for i in [i for i in range(n) if counts[i].sum() < self.filter and n > self.n_macrostates]:
             if len(alive) <= self.n_macrostates:
                 break
-            pull = {j: sum(self.countsmat_[i, m] + self.countsmat_[m, i] for m in macro[j]) for j in alive if j != i}
+            pull = {j: sum(counts[i, m] + counts[m, i] for m in macro[j]) for j in alive if j != i}
             self._merge(max(pull, key=lambda j: (pull[j], -j)), i, rows, macro, alive)
         while len(alive) > self.n_macrostates:
             best, pair = np.inf, None

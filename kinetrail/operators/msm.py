@@ -197,9 +197,14 @@ class MarkovStateModel(StateModel):
 
     # --- uncertainty ---
 
-    def uncertainty_eigenvalues(self) -> np.ndarray:
-        """Standard errors of the eigenvalues by the delta method, rows of counts taken as Dirichlet distributions."""
+    def uncertainty_eigenvalues(self, columns: bool = False) -> np.ndarray:
+        """Standard errors of the eigenvalues by the delta method, rows of counts taken as Dirichlet distributions.
+
+        With ``columns`` the columns are, as some tools have it.
+        """
         c = self.countsmat_ + self.prior_counts
+        if columns:
+            c = c.T
         u, left, right = (np.real(x) for x in self._eigen)
         out = []
         for k in range(len(u)):

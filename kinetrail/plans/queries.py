@@ -12,6 +12,7 @@ from kinetrail.functions import divergence
 from kinetrail.functions.distances import METRICS
 from kinetrail.operators import bayes, cluster, counting, decomposition, featurizers, fragment, hmm, lumping, msm, ratematrix, sampling, tpt
 from kinetrail.operators import preprocessing as prep
+from kinetrail.plans import geometry_queries as geo
 from kinetrail.plans import views
 from kinetrail.session import scratch_path, table
 from kinetrail.sources import archive, examples, store
@@ -227,9 +228,48 @@ def msm_mle_modes(s, d):
     return _model(s, d).to_frames(s)["modes"]
 
 
-@query("msm_mle_transmat")
+@query("msm_mle_transmat", _PAIRS.format(lag=1).replace("WITH p AS", "WITH RECURSIVE p AS") + """, k AS (SELECT src, dst, coalesce(n, 0) AS n FROM (SELECT DISTINCT src FROM c) CROSS JOIN (SELECT DISTINCT dst FROM c) LEFT JOIN c USING (src, dst)),
+b AS (SELECT src, dst, n + m AS two, sum(n) OVER (PARTITION BY src) AS cs, sum(m) OVER (PARTITION BY dst) AS cd FROM (SELECT k.src, k.dst, k.n, r.n AS m FROM k JOIN k r ON r.src = k.dst AND r.dst = k.src)),
+x AS (SELECT 0 AS t, src, dst, CAST(two AS DOUBLE) AS x FROM b UNION ALL
+  SELECT t + 1, src, dst, two / (cs / xs + cd / xd) FROM (
+    SELECT x.t, b.src, b.dst, b.two, b.cs, b.cd, sum(x.x) OVER (PARTITION BY b.src) AS xs, sum(x.x) OVER (PARTITION BY b.dst) AS xd FROM x JOIN b USING (src, dst)) WHERE t < 400)
+SELECT src, dst, round(x / sum(x) OVER (PARTITION BY src), 6) AS t_ij FROM x WHERE t = 400""")
 def msm_mle_transmat(s, d):
-    return _model(s, d).to_frames(s)["transmat"]
+    m = _model(s, d)
+    rows = [(str(a), str(b), round(float(m.transmat_[i, j]), 6)) for i, a in enumerate(m.labels_) for j, b in enumerate(m.labels_)]
+    return s.createDataFrame(rows, "src string, dst string, t_ij double")
+
+
+_TWO = """WITH l AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS s FROM events), g(lag) AS (VALUES (1), (2), (3), (5)),
+f AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM l),
+c AS (SELECT lag, a.s, avg(CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END) AS leave FROM g, f a, f b WHERE a.user_id = b.user_id AND b.r = a.r + lag GROUP BY ALL)
+"""
+
+
+@query("implied_timescales_two_states", _TWO + "SELECT lag, CASE WHEN sum(leave) < 1 THEN round(-lag / ln(1 - sum(leave)), 4) ELSE CAST('nan' AS DOUBLE) END AS timescale FROM c GROUP BY lag")
+def implied_timescales_two_states(s, d):
+    t = views.Trajectories(table(s, d, "events").withColumn("bought", F.col("event_type") == "purchase"), "user_id", ("ts", "event_id"), "bought")
+    out = msm.implied_timescales(t, [1, 2, 3, 5], 1)
+    return out.select(F.col(out.columns[0]).alias("lag"), F.round(out.columns[-1], 4).alias("timescale"))
+
+
+_THREE = """WITH l AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'a' WHEN 'purchase' THEN 'c' ELSE 'b' END AS s FROM events),
+p AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM l),
+c AS (SELECT s, n, count(*) AS k FROM p WHERE n IS NOT NULL GROUP BY 1, 2), s AS (SELECT s, n, sum(k) AS k FROM (SELECT s, n, k FROM c UNION ALL SELECT n, s, k FROM c) GROUP BY 1, 2),
+t AS (SELECT s, n, k / sum(k) OVER (PARTITION BY s) AS t FROM s),
+v AS (SELECT sum(CASE WHEN s = 'a' AND n = 'a' THEN t END) AS aa, sum(CASE WHEN s = 'a' AND n = 'b' THEN t END) AS ab, sum(CASE WHEN s = 'b' AND n = 'a' THEN t END) AS ba,
+  sum(CASE WHEN s = 'b' AND n = 'b' THEN t END) AS bb, sum(CASE WHEN s = 'b' AND n = 'c' THEN t END) AS bc FROM t)
+"""
+
+
+@query("tpt_three_states", _THREE + """SELECT 'a' AS label, CAST(0 AS DOUBLE) AS committor, round((1 - bb + ab) / ((1 - aa) * (1 - bb) - ab * ba), 5) AS mfpt FROM v
+UNION ALL SELECT 'b', round(bc / (ba + bc), 7), round((1 - aa + ba) / ((1 - aa) * (1 - bb) - ab * ba), 5) FROM v UNION ALL SELECT 'c', 1, 0 FROM v""")
+def tpt_three_states(s, d):
+    label = F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "purchase", "c").otherwise("b")
+    t = views.Trajectories(table(s, d, "events").withColumn("s", label), "user_id", ("ts", "event_id"), "s")
+    m = msm.MarkovStateModel(reversible_type="transpose").fit(t)
+    rows = zip(m.labels_, tpt.committors(0, 2, m), tpt.mfpts(m, 2))
+    return s.createDataFrame([(str(a), round(float(q), 7), round(float(f), 5)) for a, q, f in rows], "label string, committor double, mfpt double")
 
 
 @query("implied_timescales")
@@ -436,10 +476,16 @@ def sample_states_knn(s, d):
     return cluster.NearestFrames(views.vectors(s, d), ["vec_id"]).query(np.array(_CENTERS), 5).withColumn("distance", F.round("distance", 8))
 
 
-@query("kcenters_labels")
+_STEP = f"(SELECT v.vec_id, v.x, CAST({_LIST['euclidean']} AS DOUBLE) AS d FROM {_VEC} v, (SELECT x AS y FROM {{}}))"
+_FARTHEST = f"WITH v AS MATERIALIZED {_VEC}, c0 AS MATERIALIZED (SELECT 0 AS k, vec_id, x FROM v WHERE vec_id = 1)" + "".join(
+    f", d{k} AS MATERIALIZED (SELECT n.vec_id, n.x, n.d" + (f" AS raw, least(n.d, o.d) AS d FROM {_STEP.format(f'c{k}')} n JOIN d{k - 1} o USING (vec_id))" if k else f" AS raw, n.d FROM {_STEP.format('c0')} n)")
+    + f", c{k + 1} AS MATERIALIZED (SELECT {k + 1} AS k, vec_id, x FROM d{k} ORDER BY d DESC, vec_id LIMIT 1)" for k in range(10))
+
+
+@query("kcenters_labels", _FARTHEST + " SELECT vec_id, CAST(arg_min(k, raw) AS INTEGER) AS label, round(min(raw), 7) AS distance FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, vec_id, raw FROM d{k}" for k in range(10)) + ") GROUP BY vec_id")
 def kcenters_labels(s, d):
     v = views.vectors(s, d)
-    return cluster.KCenters(10, key="vec_id", first=1).fit(v).predict(v).select("vec_id", "label", "distance")
+    return cluster.KCenters(10, key="vec_id", first=1).fit(v).predict(v).select("vec_id", "label", F.round("distance", 7).alias("distance"))
 
 
 @query("regular_spatial_labels")
@@ -610,6 +656,15 @@ def _projected(s, d, model):
 query("tica_transform")(lambda s, d: _projected(s, d, decomposition.tICA(2, lag_time=2)))
 query("sparse_tica_transform")(lambda s, d: _projected(s, d, decomposition.SparseTICA(1, lag_time=2, rho=0.05)))
 query("ksparse_tica_transform")(lambda s, d: _projected(s, d, decomposition.KSparseTICA(1, lag_time=2, k=2)))
+@query("pca_lengths", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(views.LINE_FEATURES)) + " FROM lineitem), m AS (SELECT "
+    + ", ".join(f"avg(x{i}) AS m{i}" for i in range(4)) + " FROM x) SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(" + " + ".join(f"(x{i} - m{i}) ** 2" for i in range(4)) + "), 5) AS length FROM x, m")
+def pca_lengths(s, d):
+    """All components together keep the distance of every row to the mean."""
+    t = views.lines(s, d)
+    out = decomposition.PCA(4).fit(t.df).transform(t.df)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v)), 5).alias("length"))
+
+
 query("pca_transform")(lambda s, d: _projected(s, d, decomposition.PCA(2)))
 query("factor_analysis_transform")(lambda s, d: _projected(s, d, decomposition.FactorAnalysis(1)))
 query("fast_ica_transform")(lambda s, d: _projected(s, d, decomposition.FastICA(2, max_iter=10)))
@@ -678,13 +733,14 @@ def atom_pairs(s, d):
     return df.select("vec_id", f.alias("f")).select("vec_id", F.round(F.col("f")[0], 8).alias("d01"), F.round(F.col("f")[1], 8).alias("d02"))
 
 
-@query("dihedral_angles")
+@query("dihedral_angles", "WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) " + " UNION ALL ".join(
+    f"SELECT vec_id, {k} AS i, round({geo._torsion(*q)}, 6) AS angle FROM a" for k, q in enumerate(((0, 1, 2, 3), (4, 5, 6, 7)))))
 def dihedral_angles(s, d):
     from kinetrail.functions import geometry
 
     atoms = F.array(*(F.slice("features", 3 * i + 1, 3) for i in range(21)))
     f = featurizers.FunctionFeaturizer(lambda x: geometry.dihedrals(x, np.array([[0, 1, 2, 3], [4, 5, 6, 7]])))
-    return f.transform(views.vectors(s, d).withColumn("xyz", atoms), "angles").select("vec_id", F.posexplode("angles").alias("i", "angle"))
+    return f.transform(views.vectors(s, d).withColumn("xyz", atoms), "angles").select("vec_id", F.posexplode("angles").alias("i", "angle")).withColumn("angle", F.round("angle", 6))
 
 
 @query("rmsd_to_reference")
@@ -694,7 +750,10 @@ def rmsd_to_reference(s, d):
     return featurizers.RMSDFeaturizer(reference).transform(views.vectors(s, d).withColumn("xyz", atoms), "rmsd").select("vec_id", F.col("rmsd")[0].alias("rmsd"))
 
 
-@query("sample_dimension_linear")
+@query("sample_dimension_linear", """WITH f AS (SELECT user_id AS traj_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame, value FROM events),
+p AS (SELECT min(value) + k * ((max(value) - min(value)) / 19) AS p, k FROM f, range(20) r(k) GROUP BY k),
+n AS (SELECT traj_id, frame, value, row_number() OVER (PARTITION BY k ORDER BY abs(value - p), traj_id, frame) AS r FROM f, p)
+SELECT DISTINCT traj_id, frame, value FROM n WHERE r = 1""")
 def sample_dimension_linear(s, d):
     return sampling.sample_dimension(views.event_values(s, d), 0, 20)
 
@@ -704,7 +763,8 @@ def unique_in_order(s, d):
     return sampling.unique_in_order(table(s, d, "events"), "event_type", "event_id")
 
 
-@query("trajectory_medians")
+@query("trajectory_medians", """WITH f AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, quantile_cont(value, 0.5) OVER (PARTITION BY user_id) AS m FROM events)
+SELECT user_id AS traj_id, CAST(t AS BIGINT) AS frame, value AS v FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(value - m), t) = 1""")
 def trajectory_medians(s, d):
     return sampling.trajectory_medians(views.event_values(s, d), 0)
 
@@ -812,3 +872,7 @@ def stored_numpy_arrays(s, d):
     back = store.read_npy(s, f"file://{at}")
     key = F.regexp_extract("path", r"(\d{8})\.npy$", 1).cast("int")
     return back.select(key.alias("traj_id"), "frame", F.col("features")[0].alias("v"))
+
+
+QUERIES.update(geo.QUERIES)
+ORACLE.update(geo.ORACLE)

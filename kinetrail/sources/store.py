@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import io
+import importlib
 import json
 import platform
 import re
@@ -260,9 +261,12 @@ def join_chunks(frames: DataFrame, traj: str, chunk: str, frame: str, drop_first
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """The numbers and parameters of a model as JSON: no code is stored."""
+    """The numbers and parameters of a model as JSON, with models and tables of numbers within it: no code is stored.
+
+    What cannot be written, such as a function or a table of the session, raises ``TypeError``.
+    """
+    state = {k: _plain(v, k) for k, v in vars(model).items() if not k.startswith("_")}
     backup(spark, path)
-    state = {k: _plain(v) for k, v in vars(model).items() if not k.startswith("_") and _plain(v) is not NotImplemented}
     write_text(spark, path, json.dumps({"class": type(model).__name__, "version": __version__, "state": state}))
 
 
@@ -275,17 +279,37 @@ def load_model(spark: SparkSession, kind: type, path: str):
     return out
 
 
-def _plain(v):
+def _plain(v, name: str = ""):
     if isinstance(v, np.ndarray):
         return {"array": v.tolist(), "dtype": str(v.dtype)}
     if isinstance(v, np.generic):
         return v.item()
     if isinstance(v, (str, int, float, bool)) or v is None:
         return v
-    if isinstance(v, (list, tuple)) and all(_plain(x) is not NotImplemented for x in v):
-        return [_plain(x) for x in v]
-    return NotImplemented
+    if isinstance(v, (list, tuple)):
+        return [_plain(x, name) for x in v]
+    if isinstance(v, dict):
+        return {"items": [[_plain(k, name), _plain(x, name)] for k, x in v.items()]}
+    if type(v).__module__.startswith("kinetrail.") and hasattr(v, "__dict__"):
+        return {"class": f"{type(v).__module__}:{type(v).__qualname__}", "state": {k: _plain(x, f"{name}.{k}") for k, x in vars(v).items() if not k.startswith("_")}}
+    raise TypeError(f"{name} of the model cannot be written: {type(v).__name__}")
 
 
 def _real(v):
-    return np.array(v["array"], dtype=v["dtype"]) if isinstance(v, dict) and "array" in v else v
+    if isinstance(v, list):
+        return [_real(x) for x in v]
+    if not isinstance(v, dict):
+        return v
+    if "array" in v:
+        return np.array(v["array"], dtype=v["dtype"])
+    if "items" in v:
+        keys = ((tuple(k) if isinstance(k, list) else k, x) for k, x in v["items"])
+        return {_real(k): _real(x) for k, x in keys}
+    module, _, name = v["class"].partition(":")
+    if not module.startswith("kinetrail."):
+        raise ValueError(f"the file names a class from elsewhere: {v['class']}")
+    kind = getattr(importlib.import_module(module), name)
+    out = kind.__new__(kind)
+    for k, x in v["state"].items():
+        object.__setattr__(out, k, _real(x))
+    return out
