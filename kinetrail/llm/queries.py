@@ -124,7 +124,21 @@ def _topology(c: str) -> str:
     return f"nullif(regexp_extract({_PATH.format(c=c)}, '([^/]+/)?[^/]+$'), '')"
 
 
+#: Usable vectors as SQL sees them, and every pair within a distance: for the small tables.
+_WITHIN = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CAST(any_value(data) AS DOUBLE[{WIDTH}]) AS x FROM featurized
+  WHERE vec_id IS NOT NULL AND len(data) = {WIDTH} AND len(list_filter(data, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 GROUP BY vec_id),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE array_distance(a.x, b.x) <= {{0}})
+"""
+_GROUPED = _WITHIN.format(GROUP) + """, sets AS (SELECT a, list_sort(list(b)) AS near FROM near GROUP BY a),
+full_sets AS (SELECT near, min(a) AS cluster_id FROM sets GROUP BY near HAVING count(*) = len(near) AND count(*) >= 8)
+"""
+
 ORACLE = {
+    "p3_found": _WITHIN.format(CLOSE) + "SELECT a AS vec_a, b AS vec_b FROM near WHERE a < b",
+    "p6_found": _GROUPED + "SELECT a AS vec_id, cluster_id FROM sets JOIN full_sets USING (near)",
+    "p6_frames": _GROUPED + "SELECT a AS vec_id, cluster_id FROM sets LEFT JOIN full_sets USING (near)",
+    "p7_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, true AS same FROM documents",
     "p1_runs": _STATES
     + """, steps AS (SELECT traj_id, CASE WHEN step_ps > 0 AND NOT isnan(step_ps) THEN step_ps END AS step FROM meta
   QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY gathered_at DESC) = 1)
