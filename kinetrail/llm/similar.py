@@ -27,19 +27,24 @@ from pyspark.sql import Window as W
 from kinetrail.llm.vectors import VectorSet, bounded_sample, lists, lloyd, matrix, nearest, spread_by, squares, vector_set
 
 #: Vectors that the codebooks are fitted on, at most; every vector is encoded.
-FIT_ON = 40_000
-#: Vectors a cell on the average, as far as the largest coarse codebook allows.
+FIT_ON = 65_536
+#: Vectors a cell on the average, as far as the largest coarse codebook allows: to two million vectors.
 PER_CELL = 256
-MOST_CELLS = 4096
+MOST_CELLS = 8192
 #: Residual codebooks and codewords in each.
 BOOKS, WORDS = 8, 256
 BEAM = 4
-#: Cells that a query visits for its nearest vectors.
-PROBES = 16
+#: Cells that a query visits for its nearest vectors: those with a centre not much farther than the nearest one,
+#: a vector in a group few and one that lies alone many.
+REACH, LEAST_PROBES, PROBES = 1.4, 6, 64
 #: Vectors that are ranked exactly for each query in a cell: in each of the ``NEAREST`` first cells, and in each further one.
 NEAREST, RERANK, RERANK_FAR = 3, 160, 48
-#: Vectors that one task holds: neighbouring cells make up a region of about so many, larger ones are split in blocks.
-BLOCK = 8192
+#: Vectors that one task holds at most: neighbouring cells make up a region, larger regions are split in blocks.
+BLOCK = 65_536
+#: Regions as far as they then hold at least and at most so many vectors: few, as a query goes to each region it visits.
+REGIONS, LEAST_REGION, MOST_REGION = 24, 2048, 32_768
+#: Copies of a vector up to which all their pairs are told; of more the pairs with the first one.
+EXPAND = 11
 
 
 @dataclass(frozen=True)
@@ -96,7 +101,7 @@ def fit_codebooks(sample: np.ndarray, n: int, seed: int = 0) -> Codebooks:
 
 def regions(coarse: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """The region of each cell: neighbouring cells together, so that a query goes to few tasks for many cells."""
-    k = int(np.clip(-(-n // (BLOCK // 2)), 1, len(coarse)))
+    k = int(np.clip(-(-n // int(np.clip(n // REGIONS, LEAST_REGION, MOST_REGION))), 1, len(coarse)))
     rng = np.random.default_rng(seed)
     return nearest(coarse, lloyd(coarse, coarse[rng.permutation(len(coarse))[:k]], 5))[0]
 
@@ -128,7 +133,10 @@ def _index(vectors: DataFrame, books: Codebooks, region: np.ndarray, blocks: np.
 def _questions(ids, x, d: np.ndarray, region: np.ndarray, blocks: np.ndarray, probes: int, within: float | None) -> Iterator[pa.RecordBatch]:
     if within is None:
         order = _first(d, probes)
-        q, rank, cell = np.repeat(np.arange(len(ids)), order.shape[1]), np.tile(np.arange(order.shape[1]), len(ids)), order.ravel()
+        near = np.take_along_axis(d, order, axis=1)
+        visits = (near <= REACH * near[:, :1]) | (np.arange(order.shape[1]) < LEAST_PROBES)
+        q, rank = np.nonzero(visits)
+        cell = order[q, rank]
     else:
         q, cell = np.nonzero(d <= d.min(axis=1)[:, None] + np.float32(2 * within + 1e-2))
         rank = np.zeros(len(q), np.int64)
@@ -203,8 +211,8 @@ class _Region:
         first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         self.cells = {int(cell[a]): slice(a, b) for a, b in zip(first, np.append(first[1:], len(cell)))}
 
-    def search(self, ids: np.ndarray, q: np.ndarray, cells: pa.Array, near: np.ndarray, k: int, within: float | None):
-        """For queries: index, neighbour and exact distance of the best ``k``, or of those ``within``."""
+    def search(self, ids: np.ndarray, q: np.ndarray, cells: pa.Array, near: np.ndarray, k: int | None, within: float | None):
+        """For queries: index, neighbour and exact distance of the best ``k``, or of all ``within`` with a greater id."""
         self.close()
         sizes = np.diff(cells.offsets.to_numpy())
         at = np.repeat(np.arange(len(ids)), sizes)
@@ -225,7 +233,7 @@ class _Region:
                 groups = [(mine[close], RERANK), (mine[~close], RERANK_FAR)]
             for m, r in groups:
                 for c in range(0, len(m), 1024):
-                    i, j = self._candidates(q[at[m[c : c + 1024]]], cell, max(r, k + 1) if r else None, within)
+                    i, j = self._candidates(q[at[m[c : c + 1024]]], cell, max(r, (k or 0) + 1) if r else None, within)
                     found_i.append(at[m[c : c + 1024]][i])
                     found_j.append(j)
         i, j = np.concatenate(found_i), np.concatenate(found_j)
@@ -237,10 +245,12 @@ class _Region:
         fine = ids[i] != self.ids[j] if len(i) else np.zeros(0, bool)
         if within is not None:
             fine &= d <= within
+        if k is None and len(i):
+            fine &= ids[i] < self.ids[j]
         i, j, d = i[fine], j[fine], d[fine]
         order = np.lexsort((self.ids[j] if len(j) else j, d, i))
         i, j, d = i[order], j[order], d[order]
-        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        best = np.ones(len(i), bool) if k is None else np.arange(len(i)) - np.searchsorted(i, i) < k
         return i[best], self.ids[j[best]] if best.any() else j[best], d[best]
 
     def _candidates(self, q: np.ndarray, cell: int, r: int | None, within: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +274,7 @@ class _Region:
 FOUND = "id bigint, ids array<bigint>, ds array<double>"
 
 
-def _scan(indexed: DataFrame, books: Codebooks, k: int, within: float | None) -> DataFrame:
+def _scan(indexed: DataFrame, books: Codebooks, k: int | None, within: float | None) -> DataFrame:
     """The best of each query in each block of a region it visits. A task holds one block of vectors and streams its queries."""
     # vectors, which have a cell, come before queries
     rows = spread_by(indexed, "region", "block").sortWithinPartitions("region", "block", F.col("cell").isNull())
@@ -284,8 +294,9 @@ def _scan(indexed: DataFrame, books: Codebooks, k: int, within: float | None) ->
                 if not asks:
                     now.add(batch.slice(a, b - a))
                     continue
-                for c in range(a, b, 2048):
-                    part = batch.slice(c, min(2048, b - c))
+                step = 2048 if within is None else 256
+                for c in range(a, b, step):
+                    part = batch.slice(c, min(step, b - c))
                     ids = part.column(0).to_numpy()
                     i, other, d = now.search(ids, matrix(part.column(1)), part.column(8), part.column(9).to_numpy(), k, within)
                     if len(i):
@@ -307,13 +318,26 @@ def _best(lists_of: DataFrame, k: int) -> DataFrame:
     return lists_of.select("id", F.transform(pairs, lambda x: F.struct(x["d"].alias("d"), x["other"].alias("other"))).alias("p")).groupBy("id").agg(merged.alias("near"))
 
 
+def _search(vectors: VectorSet, k: int | None, within: float | None, every: int, seed: int) -> DataFrame:
+    """Lists of neighbours of each query, one for each block that it visits."""
+    sample = bounded_sample(vectors.distinct, vectors.n, FIT_ON, seed)
+    books = fit_codebooks(sample, vectors.n, seed)
+    probes = 0 if within is not None else PROBES
+    region = regions(books.coarse, vectors.n, seed)
+    # how many vectors a region holds, by its part of the sample: this only shares out the work
+    counts = np.bincount(region[nearest(sample, books.coarse)[0]], minlength=int(region.max()) + 1)
+    sizes = np.ceil(counts * (vectors.n / len(sample))).astype(np.int64)
+    blocks = np.maximum(-(-sizes // BLOCK), 1)
+    return _scan(_index(vectors.distinct, books, region, blocks, probes, within, every), books, k, within)
+
+
 def similar_vectors(
     df: DataFrame, key: str, vector: str, width: int, k: int = 10, within: float | None = None, every: int = 1, seed: int = 0
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every vector: ``id``, ``other`` and ``distance``.
 
     With ``within`` only those at most so far, which are then found without loss:
-    the limit is pushed into the search. Else the loss is that of visiting ``PROBES``
+    the limit is pushed into the search. Else the loss is that of visiting a few
     cells and ranking so many vectors of each exactly; see the README for its
     measure. ``every`` takes as queries the ids divisible by it, against all vectors.
 
@@ -325,16 +349,8 @@ def similar_vectors(
     vectors = vector_set(df, key, vector, width)
     if vectors.n == 0:
         return df.sparkSession.createDataFrame([], "id bigint, other bigint, distance double")
-    sample = bounded_sample(vectors.distinct, vectors.n, FIT_ON, seed)
-    books = fit_codebooks(sample, vectors.n, seed)
-    probes = 0 if within is not None else PROBES
-    region = regions(books.coarse, vectors.n, seed)
-    # how many vectors a region holds, by its part of the sample: this only shares out the work
-    counts = np.bincount(region[nearest(sample, books.coarse)[0]], minlength=int(region.max()) + 1)
-    sizes = np.ceil(counts * (vectors.n / len(sample))).astype(np.int64)
-    blocks = np.maximum(-(-sizes // BLOCK), 1)
     asked = every if not vectors.n_copies else 1
-    found = _best(_scan(_index(vectors.distinct, books, region, blocks, probes, within, asked), books, k, within), k)
+    found = _best(_search(vectors, k, within, asked, seed), k)
     if vectors.n_copies:
         out = _with_copies(found, vectors, k, every)
     else:
@@ -364,7 +380,27 @@ def _with_copies(found: DataFrame, vectors: VectorSet, k: int, every: int) -> Da
     return members.select("id", F.explode(mine).alias("x"))
 
 
-def close_pairs(df: DataFrame, key: str, vector: str, width: int, distance: float, k: int = 10) -> DataFrame:
-    """Each pair of different ids at most ``distance`` apart that are among each other's ``k`` most similar, the smaller id first."""
-    near = similar_vectors(df, key, vector, width, k, within=distance)
-    return near.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+def close_pairs(df: DataFrame, key: str, vector: str, width: int, distance: float, seed: int = 0) -> DataFrame:
+    """Each pair of different ids at most ``distance`` apart, the smaller id first, without loss and without a limit to their number.
+
+    The pairs of a search of one vector at a time; exact copies are searched once. Up to
+    ``EXPAND`` copies of a vector are told in all pairs; more are told as pairs with the one of
+    the smallest id, which stands for them in the pairs with other vectors, so that no link
+    between different vectors is lost and no group gives the square of its size.
+    """
+    vectors = vector_set(df, key, vector, width)
+    if vectors.n == 0:
+        return df.sparkSession.createDataFrame([], "vec_a bigint, vec_b bigint")
+    lists_of = _search(vectors, None, distance, 1, seed)
+    pairs = lists_of.select(F.col("id").alias("a"), F.explode("ids").alias("b"))
+    if vectors.n_copies:
+        size = vectors.copies.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+        copies = vectors.copies.join(size, "rep")
+        few = copies.where((F.col("size") <= EXPAND) | (F.col("id") == F.col("rep")))
+        for c in ("a", "b"):
+            named = few.select(F.col("rep").alias("__rep"), F.col("id").alias("__id"))
+            pairs = pairs.join(named, F.col(c) == F.col("__rep"), "left").withColumn(c, F.coalesce("__id", c)).drop("__rep", "__id")
+        heads = few.select("rep", F.col("id").alias("head"))
+        own = copies.join(heads, "rep").where(F.col("head") < F.col("id")).select(F.col("head").alias("a"), F.col("id").alias("b"))
+        pairs = pairs.select("a", "b").unionByName(own)
+    return pairs.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
