@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.llm import clusters, similar
-from kinetrail.llm.vectors import squares
+from kinetrail.llm.vectors import matrix, squares, vector_set
 
 W = 6
 
@@ -49,12 +49,37 @@ def test_close_pairs_are_all_found(spark, monkeypatch):
     monkeypatch.setattr(similar, "PER_CELL", 50)
     monkeypatch.setattr(similar, "BLOCK", 40)
     x = cloud(600)
+    x[560:590] = x[0] + np.random.default_rng(2).normal(size=(30, W)).astype(np.float32) * 0.02
     x[300:340] = x[:40] + np.random.default_rng(1).normal(size=(40, W)).astype(np.float32) * 0.05
     got = {(r[0], r[1]) for r in similar.close_pairs(table(spark, np.vstack([x, x]), list(range(600)) * 2), "vec_id", "data", W, 0.4).collect()}
     d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1))
     want = {(int(i), int(j)) for i, j in np.argwhere(d <= 0.4) if i < j}
-    few = {p for p in want if (d[p[0]] <= 0.4).sum() <= 11 and (d[p[1]] <= 0.4).sum() <= 11}
-    assert few and few <= got <= want
+    assert got == want and max((d <= 0.4).sum(1)) > 11
+
+
+def test_many_copies_are_told_by_their_first(spark):
+    x = np.vstack([np.zeros((30, W)), np.full((1, W), 0.1), np.full((3, W), 9.0)])
+    got = sorted(tuple(r) for r in similar.close_pairs(table(spark, x), "vec_id", "data", W, 0.4).collect())
+    assert got == sorted([(0, i) for i in range(1, 31)] + [(31, 32), (31, 33), (32, 33)])
+
+
+def test_recall_of_isolated_vectors(spark, monkeypatch):
+    """Queries are the ids divisible by 50, against all vectors, in more than 200 cells."""
+    monkeypatch.setattr(similar, "PER_CELL", 180)
+    df = spark.read.parquet("/root/testdata/sf0.1/featurized.parquet")
+    got: dict = {}
+    for r in similar.similar_vectors(df, "vec_id", "data", 24, every=50).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    rows = vector_set(df, "vec_id", "data", 24).distinct.toArrow()
+    ids, x = rows["id"].to_numpy(), matrix(rows["vec"])
+    assert len(x) / 180 > 200
+    ask = np.flatnonzero(ids % 50 == 0)
+    d = squares(x[ask], x)
+    d[np.arange(len(ask)), ask] = np.inf
+    near = np.argpartition(d, 10, axis=1)[:, :10]
+    far = np.sqrt(np.take_along_axis(d, near, 1).max(1))
+    hit = np.array([len(got[int(ids[i])] & set(ids[n].tolist())) / 10 for i, n in zip(ask, near)])
+    assert hit.mean() > 0.95 and (far > 8).sum() > 50 and hit[far > 8].mean() > 0.9
 
 
 def test_copies_are_searched_once(spark):
@@ -129,18 +154,44 @@ def test_no_vectors_no_groups(spark):
     assert g.members.count() == 0 and clusters.all_frames(g).count() == 0
 
 
-def test_hashed_features_keep_distances():
-    f = clusters.HashedFeatures.make(W)
-    x = cloud(50)
-    assert np.allclose(squares(f(x), f(x)), squares(x, x), rtol=1e-4, atol=1e-2)
+def test_hashed_features_bound_distances():
+    f = clusters.HashedFeatures.make(24, places=8)
+    x = np.random.default_rng(0).normal(size=(60, 24)).astype(np.float32)
+    assert f(x).shape == (60, 8) and f.load > 1
+    assert (squares(f(x), f(x)) <= f.load * squares(x, x) + 1e-3).all()
     heavy = clusters.HashedFeatures.make(W, [2.0] + [1.0] * (W - 1))
     assert np.abs(heavy(np.eye(W, dtype=np.float32))[0]).max() == 2
     with pytest.raises(ValueError):
         clusters.HashedFeatures.make(W, [1.0])
 
 
+def test_parts_of_a_cell_save_comparisons():
+    """Numbers, smallest ids and hashes are those of brute force, and a tight group is hardly compared."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(6000, 24)) * 0.5, 30 + rng.normal(size=(2000, 24)), rng.uniform(-20, 20, (200, 24))]).astype(np.float32)
+    ids = rng.permutation(50_000)[: len(x)]
+    held = clusters._Held(ids, x, np.zeros(len(x), np.float32), 8.0)
+    got = {r[0]: r[1:4] for r in zip(*held.near(ids, x, np.zeros(len(x), np.float32), 8.0))}
+    d = np.sqrt(squares(x[::40].astype(float), x.astype(float))) <= 8
+    h = clusters.mixed(ids)
+    for i, near in zip(ids[::40], d):
+        assert got[i] == (near.sum(), ids[near].min(), np.bitwise_xor.reduce(h[near]).view(np.int64))
+    assert held.compared < len(x) ** 2 / 20
+
+
+def test_a_large_group_is_merged_from_its_balls(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 200)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(3000, W)) * 0.4, 50 + rng.normal(size=(20, W)) * 0.4])
+    compared = []
+    monkeypatch.setattr(clusters, "neighbourhoods", lambda items, *a, real=clusters.neighbourhoods: compared.append(items.count()) or real(items, *a))
+    g = clusters.similarity_groups(table(spark, x), "vec_id", "data", W, 8.0)
+    assert {(r["id"], r["cluster_id"]) for r in g.members.collect()} == {(i, 0) for i in range(3000)} | {(i, 3000) for i in range(3000, 3020)}
+    assert compared[0] < 60 and compared[1] == 0
+
+
 def test_seeding_covers_far_groups(spark):
     x = np.vstack([np.zeros((500, W)), np.full((5, W), 90.0), np.full((5, W), -90.0)]) + np.random.default_rng(0).normal(size=(510, W)) * 0.1
     df = table(spark, x).select(F.col("vec_id").alias("id"), F.col("data").alias("vec"))
-    c = clusters.kmeans(df, x[0], 3)
+    c = clusters.kmeans(df, clusters.HashedFeatures(np.eye(W, dtype=np.float32), 1), x[0], 3)
     assert sorted(np.round(c.mean(1)).tolist()) == [-90, 0, 90]
