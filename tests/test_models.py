@@ -198,6 +198,34 @@ def test_rate_matrix_reaches_the_reversible_estimate():
     assert b.acceptance_ > 0.5 and np.allclose(b.all_timescales_.mean(0), m.timescales_, rtol=0.2)
 
 
+def _sampled(counts, **kw):
+    return ratematrix.BayesianContinuousTimeMSM(**kw).fit_counts(CountMatrix(np.asarray(counts, float), list(range(len(counts)))))
+
+
+@pytest.mark.parametrize("times", [1, 60])
+def test_sampled_rates_of_states_without_memory(times):
+    # the counts of the events of sf0.1, whose rates are large and one of them zero, as often as in larger tables
+    c = times * np.array([[3800, 3932, 3977, 4036, 3815], [3887, 3860, 3988, 3864, 3917], [3955, 3899, 3898, 3932, 4083], [4022, 3931, 4025, 4094, 3947], [3900, 3871, 3902, 4057, 3908]])
+    b = _sampled(c, n_samples=50)
+    assert np.isfinite(b.all_timescales_).all() and (b.all_timescales_ > 0).all() and b.acceptance_ > 0.5
+    pi = c.sum(1) / c.sum()
+    assert np.allclose(b.all_populations_.std(0), np.sqrt(pi * (1 - pi) / c.sum()), rtol=0.5)
+
+
+def test_sampled_rates_spread_as_the_errors_say():
+    c = 1000 * (np.array([[5, 9, 3], [9, 2, 7], [3, 7, 4]]) + np.diag([200, 300, 100]))
+    b = _sampled(c, n_samples=200)
+    m = ratematrix.ContinuousTimeMSM().fit_counts(CountMatrix(c.astype(float), list("abc")))
+    assert np.allclose(b.all_timescales_.mean(0), m.timescales_, rtol=0.02)
+    assert np.allclose(b.all_timescales_.std(0), m.uncertainty_timescales(), rtol=0.3)
+
+
+def test_rates_beyond_all_numbers_have_no_likelihood():
+    for theta in ([800.0, 0, 0], [1e308, 0, 0], [np.inf, 0, 0], [1.0, 800, 0]):
+        value, slope = ratematrix.log_likelihood(np.array(theta), np.ones((2, 2)), 1.0)
+        assert not np.isnan(value) and np.isfinite(slope).all()
+
+
 def test_divergences():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.25, 0.25, 0.5]])
     assert divergence.kl_divergence(p, p)[0] == 0
