@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.llm import clusters, similar
 from kinetrail.llm.vectors import matrix, squares, vector_set
+from kinetrail.session import materialize
 
 W = 6
 
@@ -190,6 +191,31 @@ def test_a_large_group_is_merged_from_its_balls(spark, monkeypatch):
     assert compared[0] < 60 and compared[1] == 0
 
 
+def test_rounds_over_the_grid_change_no_group(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    c = rng.normal(size=(60, W)) * 12
+    x = np.concatenate([c[rng.integers(0, 60, 1000)] + rng.normal(size=(1000, W)) * 0.3, rng.normal(size=(1000, W)) * 12]).astype(np.float32)
+    seen, real = [], clusters._rounds
+    monkeypatch.setattr(clusters, "COPY_COST", 1e-12)
+    monkeypatch.setattr(clusters, "LEAST_ROOM", 150_000)
+    monkeypatch.setattr(clusters, "_rounds", lambda *a: seen.append(real(*a)) or seen[-1])
+    g = clusters.similarity_groups(table(spark, x), "vec_id", "data", W, 6.0)
+    found = {(r["id"], r["cluster_id"]) for r in g.members.collect()}
+    assert found == brute_groups(x, 6.0, 8) and len(found) > 100
+    assert max(by_cell for by_cell, _ in seen) > 1 and max(by_ask for _, by_ask in seen) > 1
+
+
+def test_a_write_takes_its_shuffle_files_along(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    kept = materialize(spark.range(10_000).repartition(3, "id"))
+    assert not files() - before
+    assert kept.count() == 10_000
+
+
 def test_seeding_covers_far_groups(spark):
     x = np.vstack([np.zeros((500, W)), np.full((5, W), 90.0), np.full((5, W), -90.0)]) + np.random.default_rng(0).normal(size=(510, W)) * 0.1
     df = table(spark, x).select(F.col("vec_id").alias("id"), F.col("data").alias("vec"))
